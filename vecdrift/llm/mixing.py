@@ -3,8 +3,8 @@ r"""Mixing sources to target weights by Efraimidis-Spirakis sampling (operator 6
 Every document gets an exponential key ``-ln(u) / w``: ``u`` a hash of its id and text in (0, 1), ``w`` its quality
 weight. Documents sorted by that key within their source are a weighted sample without replacement, whatever prefix is
 taken. A source's target is met by complete epochs (every document once each) and then the longest prefix of that
-order whose words fit the rest; of the documents after it, the one whose size is nearest to the gap left enters if that
-brings the total nearer, twice (sources of few, long documents need it).
+order whose words fit the rest; then the document of size nearest to the gap left, but within it, enters a few times,
+and at last one that may exceed it if that brings the total nearer (sources of few, long documents need this).
 
 Scale: a source may hold a third of all rows, so no task ever holds a source. Each source is dealt into about
 ``sqrt(n)`` buckets by ``floor(B * exp(-key * w_mean))``-like position of the key; bucket sums (``sqrt(n)`` rows a
@@ -29,8 +29,8 @@ from .common import WORD, materialize, text_or_empty
 #: The repeating weights of sources in code-point order, and the most epochs of a source.
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_EPOCHS = 3.0
-#: How often the gap left by the prefix is closed by the document nearest to it.
-CLOSING = 2
+#: How often the gap left by the prefix is closed by the document nearest to it; the last may overshoot.
+CLOSING = 4
 
 
 def words(column: str = "text") -> Column:
@@ -104,9 +104,10 @@ def plan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     fits = (F.col("size") > 0) & (F.col("__upto") <= F.col("__rest"))
     gap = j.groupBy("source").agg((F.first("__rest") - F.coalesce(F.max(F.when(fits, F.col("__upto"))), F.lit(0))).alias("__gap"))
     j = _per_source(j, gap, ["__gap"]).withColumn("__in", fits)
-    for _ in range(CLOSING):
+    for turn in range(CLOSING):
+        most = F.col("__gap") if turn < CLOSING - 1 else 2 * F.col("__gap")
         near = F.struct(F.abs(F.col("__gap") - F.col("size")).alias("d"), F.col("__key"), F.col("doc_id").cast("string").alias("i"), F.col("__h"), F.col("__upto"), F.col("size").alias("s"))
-        last = j.where(~F.col("__in") & (F.col("size") > 0) & (F.col("size") < 2 * F.col("__gap"))).groupBy("source").agg(F.min(near).alias("__last"))
+        last = j.where(~F.col("__in") & (F.col("size") > 0) & (F.col("size") <= most)).groupBy("source").agg(F.min(near).alias("__last"))
         j = _per_source(j, last, ["__last"], "left").withColumns({"__in": F.col("__in") | F.coalesce(near == F.col("__last"), F.lit(False)), "__gap": F.col("__gap") - F.coalesce(F.col("__last.s"), F.lit(0))}).drop("__last")
     j = j.withColumn("epochs", F.col("__epochs") + F.col("__in").cast("long"))
     return j.select("doc_id", "__h", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).alias("taken"))
