@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, mixing, quality_rules, secrets, simhash, token_output
+from . import decontaminate, line_dedup, mixing, quality_model, quality_rules, secrets, simhash, token_output, toxicity
 from .common import table
 
 
@@ -17,11 +17,13 @@ def _docs(module) -> Callable[[SparkSession, str], DataFrame]:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": _docs(secrets),
     "op2_line_dedup": _docs(line_dedup),
+    "op3_quality": lambda spark, d: quality_model.digest(table(spark, d, "documents"), table(spark, d, "labels")),
     "op4_simhash": _docs(simhash),
     "op5_decontaminate": lambda spark, d: decontaminate.digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op6_mixing": _docs(mixing),
     "op8_token_output": _docs(token_output),
     "op9_quality_rules": _docs(quality_rules),
+    "op10_toxicity": lambda spark, d: toxicity.digest(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 
 ORACLES: dict[str, str] = {
