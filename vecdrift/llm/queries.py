@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, mixing, quality_model, quality_rules, secrets, simhash, token_output, toxicity
+from . import decontaminate, line_dedup, mixing, quality_model, quality_rules, secrets, simhash, suffix_dedup, token_output, toxicity
 from .common import table
 
 
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": _docs(simhash),
     "op5_decontaminate": lambda spark, d: decontaminate.digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op6_mixing": _docs(mixing),
+    "op7_suffix_dedup": _docs(suffix_dedup),
     "op8_token_output": _docs(token_output),
     "op9_quality_rules": _docs(quality_rules),
     "op10_toxicity": lambda spark, d: toxicity.digest(table(spark, d, "documents"), table(spark, d, "labels")),
