@@ -29,6 +29,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,16 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this Python worker: tasks that follow each other share its cache."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,29 +71,58 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
+        # byte-level tokens are written with one character a byte
+        self.bytes_of = np.zeros(self.vocabulary, np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.bytes_of[i] = len(token)
         self._reset()
 
-    def _reset(self) -> None:
-        self.place: dict[str, int] = {}
-        self.characters = 0
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.begins = np.zeros(1, np.int64)
+    def _reset(self, keep: np.ndarray | None = None) -> None:
+        """Forget the cached pieces, or all but those at the places ``keep``."""
+        if keep is None or not len(keep):
+            self.place: dict[str, int] = {}
+            self.ids, self.begins, self.uses = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+        else:
+            names = list(self.place)
+            counts = np.diff(self.begins)[keep]
+            upto = np.concatenate(([0], np.cumsum(counts)))
+            self.ids = self.ids[np.repeat(self.begins[keep] - upto[:-1], counts) + np.arange(upto[-1])]
+            self.begins, self.uses = upto, np.zeros(len(keep), np.int64)
+            self.place = {names[i]: k for k, i in enumerate(keep.tolist())}
+        self.characters = sum(map(len, self.place))
 
     def _add(self, pieces: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        begins = self.begins[-1] + np.cumsum(counts)
+        """Encode new pieces as one text: it is cut between them again, and the tokens' byte lengths tell where."""
+        # pieces that begin a text have no space before them and could join the one before: they are encoded alone
+        alone = [x for x in pieces if x[0] != " "]
+        pieces = [x for x in pieces if x[0] == " "]
+        own = [e.ids for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
+        found = [np.fromiter(chain.from_iterable(own), np.uint32)]
+        counts = [np.fromiter(map(len, own), np.int64, len(own))]
+        for at in range(0, len(pieces), 1 << 14):
+            few = pieces[at : at + (1 << 14)]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(few)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum(np.fromiter((len(x) if x.isascii() else len(x.encode()) for x in few), np.int64, len(few)))
+            upto = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="right")
+            found.append(ids)
+            counts.append(np.diff(np.concatenate(([0], upto))))
+        ids, n, pieces = np.concatenate(found), np.concatenate(counts), alone + pieces
+        begins = self.begins[-1] + np.cumsum(n)
         while begins[-1] > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        self.ids[self.begins[-1] : begins[-1]] = np.fromiter((i for x in found for i in x), np.uint32, int(counts.sum()))
+        self.ids[self.begins[-1] : begins[-1]] = ids
         self.place.update(zip(pieces, range(len(self.place), len(self.place) + len(pieces)), strict=True))
         self.begins = np.concatenate((self.begins, begins))
+        self.uses = np.concatenate((self.uses, np.zeros(len(pieces), np.int64)))
         self.characters += sum(map(len, pieces))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and the id count of each."""
         if len(self.place) > _CACHE_PIECES or self.characters > _CACHE_CHARACTERS:
-            self._reset()
+            often = np.flatnonzero(self.uses > 1)
+            self._reset(often if len(often) < _CACHE_PIECES // 2 else None)
+            if self.characters > _CACHE_CHARACTERS // 2:
+                self._reset()
         split, counts = [], np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
             if _LOOSE.search(text):
@@ -96,10 +136,11 @@ class Encoder:
                 pieces = []
             counts[k] = len(pieces)
             split += pieces
-        new = [x for x in dict.fromkeys(split) if x not in self.place]
+        new = set(split).difference(self.place)
         if new:
-            self._add(new)
+            self._add(list(new))
         at = np.fromiter(map(self.place.__getitem__, split), np.int64, len(split))
+        self.uses += np.bincount(at, minlength=len(self.uses))
         first = self.begins[at]
         lengths = self.begins[at + 1] - first
         total = np.concatenate(([0], np.cumsum(lengths)))
@@ -236,7 +277,7 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None, id_column: str =
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, shard, number = Encoder(path), TaskContext.get().partitionId(), 0
+        encoder, shard, number = encoder_of(path), TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         owners: list[tuple[np.ndarray, np.ndarray]] = []
