@@ -29,7 +29,7 @@ from .common import chunks, id_crc32
 WINDOW, STEP = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 16
 WORD_ROWS, CHAR_ROWS = 1 << 13, 1 << 14
-TOXIC_SAMPLE, CLEAN_SAMPLE = 2500, 7500
+TOXIC_SAMPLE, CLEAN_SAMPLE = 2500, 5000
 TRAIN_WINDOWS = 24
 STEPS, BATCH_TOXIC, BATCH_CLEAN = 500, 24, 48
 FOLDS, HELD_OUT = 3, 1
@@ -65,6 +65,16 @@ def hashed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, grams[keep], np.concatenate(([0], np.cumsum(counts)))
 
 
+def _hashed_compactly(words: list[bytes], step: int = 1 << 15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``hashed`` of many words, some at a time, in small types."""
+    parts = []
+    for i in range(0, len(words), step):
+        rows, grams, begins = hashed(words[i : i + step])
+        parts.append((rows.astype(np.uint16), grams.astype(np.uint16), np.diff(begins)))
+    rows, grams, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return rows, grams, np.concatenate(([0], np.cumsum(counts)))
+
+
 def windows(n: int) -> np.ndarray:
     """Starts of all windows of a text of n words; the last one ends with the text."""
     if n <= WINDOW:
@@ -170,14 +180,17 @@ class Network:
 
     def fit(self, texts: list[str], labels: np.ndarray, seed: int = 11, steps: int = STEPS) -> Network:
         rng = np.random.default_rng(seed)
-        docs = [words_of(t) for t in texts]
-        usable = np.array([len(d) > 0 for d in docs], bool)
+        place: dict[bytes, int] = {}
+        at = []
+        for t in texts:
+            w = words_of(t)
+            at.append(np.fromiter((place.setdefault(x, len(place)) for x in w), np.int32, len(w)))
+        usable = np.array([len(d) > 0 for d in at], bool)
         toxic, clean = np.flatnonzero((labels == 1) & usable), np.flatnonzero((labels == 0) & usable)
         if not len(toxic) or not len(clean):
             return self
-        place: dict[bytes, int] = {}
-        at = [np.fromiter((place.setdefault(w, len(place)) for w in d), np.int64, len(d)) for d in docs]
-        rows, grams, begins = hashed(list(place))
+        rows, grams, begins = _hashed_compactly(list(place))
+        del place
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
         for step in range(1, steps + 1):
