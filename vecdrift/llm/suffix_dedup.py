@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import _delete, materialize, shared_dir, text_or_empty
 
 LENGTH, GRAM = 400, 32
-SHARD = 4 << 20
+SHARD = 1 << 20
 HOT = 2048
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 _STEPS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
@@ -265,7 +265,7 @@ def removed_runs(texts: DataFrame) -> DataFrame:
     marks = found.join(again, F.col("h") == F.col("r_h")).groupBy("k1", "k2").agg(F.collect_list(F.struct("p", (F.col("times") > HOT).alias("hot"))).alias("marks"))
     marked = long.join(marks.withColumnsRenamed({"k1": "m1", "k2": "m2"}), (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2"))).select("k1", "k2", "text", "marks")
 
-    def cut(batches):
+    def cut(batches, hot_ones):
         names = ["h", "k1", "k2", "p", "n", "segment"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for batch in batches:
@@ -274,27 +274,28 @@ def removed_runs(texts: DataFrame) -> DataFrame:
             for i, text in enumerate(batch.column(2)):
                 raw = text.as_py().encode("utf-8", "surrogatepass")
                 h, at, first, last = anchors(np.frombuffer(raw, np.uint8))
-                hot = {m["p"]: m["hot"] for m in batch.column(3)[i].as_py()}
+                wanted = [m["p"] for m in batch.column(3)[i].as_py() if m["hot"] == hot_ones]
                 h = h.view(np.int64)
-                for j in np.flatnonzero(np.isin(at, list(hot))).tolist():
+                for j in np.searchsorted(at, sorted(wanted)).tolist():
                     a, b = int(first[j]), int(last[j])
-                    # a hot anchor is told by a negative count
-                    n = b - a + 1
-                    for x, v in zip(rows, (int(h[j]), k1[i], k2[i], a, -n if hot[int(at[j])] else n, raw[a : b + LENGTH]), strict=True):
+                    for x, v in zip(rows, (int(h[j]), k1[i], k2[i], a, b - a + 1, raw[a : b + LENGTH]), strict=True):
                         x.append(v)
                 if len(rows[0]) > 8192:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names=names)
                     rows = [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names=names)
 
-    segments = marked.mapInArrow(cut, "h bigint, k1 bigint, k2 bigint, p bigint, n int, segment binary")
-    dealt = segments.where("n > 0").repartition("h").sortWithinPartitions("h").mapInArrow(_shards, "k1 bigint, k2 bigint, runs array<bigint>")
+    def segments(hot_ones: bool) -> DataFrame:
+        some = marked.where(F.exists("marks", lambda m: m["hot"] == F.lit(hot_ones)))
+        return some.mapInArrow(lambda batches: cut(batches, hot_ones), "h bigint, k1 bigint, k2 bigint, p bigint, n int, segment binary")
+
+    dealt = segments(False).repartition("h").sortWithinPartitions("h").mapInArrow(_shards, "k1 bigint, k2 bigint, runs array<bigint>")
 
     def digests(batches):
         for batch in batches:
             out: list[list[np.ndarray]] = [[], [], [], [], []]
             for i in range(batch.num_rows):
-                n = -batch.column(4)[i].as_py()
+                n = batch.column(4)[i].as_py()
                 raw, p = batch.column(5)[i].as_py(), batch.column(3)[i].as_py()
                 d = np.array([np.frombuffer(hashlib.blake2b(raw[j : j + LENGTH], digest_size=16).digest(), np.int64) for j in range(n)])
                 for x, v in zip(out, (d[:, 0], d[:, 1], np.full(n, batch.column(1)[i].as_py()), np.full(n, batch.column(2)[i].as_py()), p + np.arange(n)), strict=True):
@@ -305,7 +306,7 @@ def removed_runs(texts: DataFrame) -> DataFrame:
     hot = again.where(F.col("times") > HOT)
     if hot.isEmpty():
         return dealt
-    windows = materialize(segments.where("n < 0").mapInArrow(digests, "d1 bigint, d2 bigint, k1 bigint, k2 bigint, p bigint"), "hot-windows")
+    windows = materialize(segments(True).mapInArrow(digests, "d1 bigint, d2 bigint, k1 bigint, k2 bigint, p bigint"), "hot-windows")
     twice = _repeated(windows, ["d1", "d2"], "repeated-windows")
     of_hot = windows.join(twice, (F.col("d1") == F.col("r_d1")) & (F.col("d2") == F.col("r_d2"))).select("k1", "k2", F.array("p", F.col("p") + LENGTH).alias("runs"))
     return dealt.unionByName(of_hot)
