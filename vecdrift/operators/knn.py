@@ -114,13 +114,14 @@ def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", exclude
         return queries.select("id", "vec").repartition(parts).mapInPandas(search, _OUT)
     # grid: block numbers by hash of the id, so blocks are even and reproducible
     nb, nq = -(-n // BLOCK_ROWS), -(-m // BLOCK_ROWS)
-    b = base.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(nb)).alias("bb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    # fresh names on the base side: both sides may be one frame
+    b = base.select(F.col("id").alias("bid"), F.col("vec").alias("bvec"), F.pmod(F.xxhash64("id"), F.lit(nb)).alias("bb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
     q = queries.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(nq)).alias("qb")).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "neighbor_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64"), "rank": pd.Series(dtype="int64")})
-        return top_k(left["id"].to_numpy(), _matrix(left["vec"]), right["id"].to_numpy(), _matrix(right["vec"]), k, metric, exclude_self)
+        return top_k(left["id"].to_numpy(), _matrix(left["vec"]), right["bid"].to_numpy(), _matrix(right["bvec"]), k, metric, exclude_self)
 
     cells = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInPandas(cell, _OUT)
     w = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")

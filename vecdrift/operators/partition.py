@@ -50,24 +50,103 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return terms.agg(F.coalesce(F.sum("q"), F.lit(0.0)).alias("modularity"))
 
 
-def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 20) -> DataFrame:
-    """``id, label`` by synchronous label propagation with half of the nodes (by hash) moving each round; deterministic.
+#: Graphs of at most so many edges are partitioned in the driver's memory (about 100 bytes an edge); larger ones in Spark.
+LOCAL_EDGES = 500_000
 
-    A node takes the label most of its neighbours have, the smaller of ties. Neighbour votes are partial aggregations.
+
+def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 12) -> DataFrame:
+    """``id, label`` of communities found by modularity: local moves, then the same on the contracted graph (Louvain).
+
+    Deterministic: nodes are visited in id order, ties go to the smaller label. Beyond ``LOCAL_EDGES`` (counted first)
+    moves are synchronous, half of the nodes by hash at a time, every sum a partial aggregation.
     """
-    both = materialize(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(edges.select("dst", "src")), "graph")
-    labels = materialize(nodes.select("id", F.col("id").alias("label")), "labels")
-    for turn in range(rounds):
-        near = labels.select(F.col("id").alias("v2"), "label")
-        votes = both.join(near, F.col("v") == F.col("v2")).groupBy("u", "label").agg(F.count(F.lit(1)).alias("n"))
-        best = votes.groupBy("u").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("best"))
-        moves = F.pmod(F.xxhash64(F.lit(turn), F.col("id")), F.lit(2)) == 0
-        moved = labels.join(best, F.col("id") == F.col("u"), "left").select("id", F.when(moves & F.col("best").isNotNull(), F.col("best")).otherwise(F.col("label")).alias("label"), (moves & (F.col("best") != F.col("label"))).alias("changed"))
-        moved = materialize(moved, "labels")
-        labels = moved.select("id", "label")
-        if turn % 2 and moved.where("changed").isEmpty():
+    edges = materialize(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")), "graph")
+    if edges.count() <= LOCAL_EDGES:
+        found = louvain([(r["src"], r["dst"]) for r in edges.collect()])
+        spark = edges.sparkSession
+        known = spark.createDataFrame(list(found.items()), "c_id bigint, c bigint")
+        return nodes.select("id").join(known, F.col("id") == F.col("c_id"), "left").select("id", F.coalesce("c", "id").alias("label"))
+    return _communities_spark(edges, nodes, rounds)
+
+
+def louvain(edges: list[tuple[int, int]]) -> dict[int, int]:
+    """Node -> smallest node of its community."""
+    graph: dict[int, dict[int, float]] = {}
+    for a, b in edges:
+        for x, y in ((a, b), (b, a)):
+            graph.setdefault(x, {})
+            graph[x][y] = graph[x].get(y, 0.0) + 1.0
+    member = {v: v for v in graph}
+    total = sum(sum(n.values()) for n in graph.values())
+    while graph:
+        label = {v: v for v in graph}
+        degree = {v: sum(n.values()) for v, n in graph.items()}
+        weight = dict(degree)
+        moved_any, moving = False, True
+        while moving:
+            moving = False
+            for v in sorted(graph):
+                near: dict[int, float] = {}
+                for u, w in graph[v].items():
+                    if u != v:
+                        near[label[u]] = near.get(label[u], 0.0) + w
+                own = label[v]
+                weight[own] -= degree[v]
+                scale = degree[v] / total
+                best, gain = own, near.get(own, 0.0) - weight[own] * scale
+                for c, w in sorted(near.items()):
+                    if w - weight[c] * scale > gain + 1e-12:
+                        best, gain = c, w - weight[c] * scale
+                weight[best] += degree[v]
+                if best != own:
+                    label[v] = best
+                    moving = moved_any = True
+        if not moved_any:
             break
-    return labels
+        member = {v: label[c] for v, c in member.items()}
+        small: dict[int, dict[int, float]] = {}
+        for v, near_v in graph.items():
+            row = small.setdefault(label[v], {})
+            for u, w in near_v.items():
+                row[label[u]] = row.get(label[u], 0.0) + w
+        graph = small
+    least: dict[int, int] = {}
+    for v, c in member.items():
+        least[c] = min(least.get(c, v), v)
+    return {v: least[c] for v, c in member.items()}
+
+
+def _communities_spark(edges: DataFrame, nodes: DataFrame, rounds: int, levels: int = 2) -> DataFrame:
+    both = edges.union(edges.select("dst", "src")).toDF("u", "v").groupBy("u", "v").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    out = nodes.select("id", F.col("id").alias("label"))
+    for _ in range(levels):
+        both = materialize(both, "graph")
+        degree = materialize(both.groupBy("u").agg(F.sum("w").alias("k")), "degrees")
+        total = degree.agg(F.sum("k").alias("k")).first()["k"]
+        labels = materialize(degree.select("u", F.col("u").alias("label"), "k"), "labels")
+        quiet = 0
+        for turn in range(rounds):
+            sums = labels.groupBy(F.col("label").alias("c")).agg(F.sum("k").alias("weight"))
+            near = labels.select(F.col("u").alias("v2"), F.col("label").alias("to"))
+            links = both.where("u <> v").join(near, F.col("v") == F.col("v2")).groupBy("u", "to").agg(F.sum("w").alias("w"))
+            stay = labels.select("u", F.col("label").alias("to"), F.lit(0.0).alias("w"))
+            offers = links.union(stay).groupBy("u", "to").agg(F.sum("w").alias("w"))
+            offers = offers.join(labels.withColumnRenamed("u", "lu"), F.col("u") == F.col("lu")).join(sums, F.col("to") == F.col("c"))
+            rest = F.col("weight") - F.when(F.col("to") == F.col("label"), F.col("k")).otherwise(F.lit(0.0))
+            gain = F.round(F.col("w") - rest * F.col("k") / F.lit(float(total)), 9)
+            best = offers.groupBy("u").agg(F.max_by("to", F.struct(gain, F.col("to") == F.col("label"), -F.col("to"))).alias("best"))
+            mine = F.pmod(F.xxhash64(F.lit(turn), "u"), F.lit(2)) == 0
+            moved = labels.join(best.withColumnRenamed("u", "bu"), F.col("u") == F.col("bu")).select("u", F.when(mine, F.col("best")).otherwise(F.col("label")).alias("label"), "k", (mine & (F.col("best") != F.col("label"))).alias("moved"))
+            moved = materialize(moved, "labels")
+            labels = moved.drop("moved")
+            quiet = quiet + 1 if moved.where("moved").isEmpty() else 0
+            if quiet == 2:
+                break
+        step = labels.select(F.col("u").alias("su"), F.col("label").alias("sl"))
+        out = out.join(step, F.col("label") == F.col("su"), "left").select("id", F.coalesce("sl", "label").alias("label"))
+        a, b = step.toDF("ua", "la"), step.toDF("ub", "lb")
+        both = both.join(a, F.col("u") == F.col("ua")).join(b, F.col("v") == F.col("ub")).groupBy(F.col("la").alias("u"), F.col("lb").alias("v")).agg(F.sum("w").alias("w"))
+    return materialize(out, "communities")
 
 
 def confusion(df: DataFrame, gt: str = "gt", pred: str = "pred", ignore: int = 255) -> DataFrame:
