@@ -1,21 +1,21 @@
-"""What the operators of this subpackage share: table loading, shared-storage materialisation, hashing columns.
+"""What the operators of this subpackage share: table loading, bounded runs of texts, hashing columns.
 
-Rows that an operator needs twice, or whose lineage it cuts, are written as Parquet below the folder named by
+Rows that an operator needs twice, or whose lineage it cuts, are written with ``materialize`` below the folder named by
 ``spark.checkpoint.dir`` (shared by driver and executors on a cluster) and read back, so a lost executor costs a
 re-read, never a recomputation from a vanished local block.
 """
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-import weakref
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import delete_at_exit, materialize, shared_dir
+
+__all__ = ["SPACE", "WORD", "ascii_lower", "chunks", "delete_at_exit", "id_crc32", "materialize", "shared_dir", "table", "text_or_empty"]
+
 #: ASCII white space, as the contracts of these operators spell it.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -26,41 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests, a laptop) a temporary one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not hasattr(shared_dir, "own"):
-        shared_dir.own = tempfile.mkdtemp(prefix="vecdrift-")
-    return "file://" + shared_dir.own
-
-
-def _delete(spark_ref, path: str) -> None:
-    spark = spark_ref()
-    try:
-        jvm = spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
-    except Exception:  # the session has ended; nothing is left to delete it with
-        pass
-
-
-def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` once to the shared folder and return it as a scan of those files.
-
-    The files live until the Python process ends: the returned (lazy) frame may be read any number of times.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vecdrift/{name}-{uuid.uuid4().hex}"
-    writer = df.write.mode("overwrite").option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    atexit.register(_delete, weakref.ref(spark), path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def chunks(texts: list[str | None], characters: int = 2 << 20) -> Iterator[list[str | None]]:
     """Runs of a batch's texts of bounded total length (one long text is a run of its own), so numpy's work space is."""
     few: list[str | None] = []

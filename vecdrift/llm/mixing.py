@@ -98,7 +98,7 @@ def plan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     inside = Window.partitionBy("source", "__bucket").orderBy("__key", F.col("doc_id").cast("string"), "__h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     j = j.withColumn("__inside", F.sum("size").over(inside))
     j = j.join(per_bucket, F.col("source").eqNullSafe(F.col("__bs")) & (F.col("__bucket") == F.col("__bb")), "inner")
-    j = j.withColumn("__epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
+    j = j.withColumn("__epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-9))).otherwise(F.lit(0)).cast("long"))
     j = j.withColumn("__upto", F.col("__before") + F.col("__inside"))
     j = materialize(j.withColumn("__rest", F.col("target") - F.col("__epochs") * F.col("source_size")).drop("__bs", "__bb", "__before", "__inside", "__bucket"), "mix-order")
     fits = (F.col("size") > 0) & (F.col("__upto") <= F.col("__rest"))

@@ -26,17 +26,15 @@ What remains of a text may be cut inside a character; it is a byte string. Extra
 
 from __future__ import annotations
 
-import atexit
 import hashlib
 import uuid
-import weakref
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _delete, materialize, shared_dir, text_or_empty
+from .common import delete_at_exit, materialize, shared_dir, text_or_empty
 
 LENGTH, GRAM = 400, 32
 SHARD = 1 << 20
@@ -235,7 +233,7 @@ def _distinct_texts(docs: DataFrame, text_column: str) -> DataFrame:
     path = f"{shared_dir(spark)}/vecdrift/{name}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     one.write.bucketBy(n, "k1", "k2").option("path", path).option("compression", "zstd").saveAsTable(name)
-    atexit.register(_delete, weakref.ref(spark), path)
+    delete_at_exit(spark, path)
     return spark.table(name)
 
 

@@ -14,9 +14,6 @@ committer makes a retried task harmless. ``payload`` (little-endian) is
     doc ids i64[n_docs], null marks u8[n_docs], begins in the sequence u32[n_docs + 1], id counts u32[n_docs]
     rules u32[n_rules, 2], expansion lengths u32[n_rules], sequence u32[n_symbols]
 
-Exact encoding, faster: byte-level BPE never merges across the places where a space is followed by a non-space, so
-texts are cut there and each distinct piece is encoded once per cache life.
-
 Defined results: null or empty texts are the end id alone; a null doc_id sorts first; repeated rows follow each other,
 ordered by content hash; an empty table gives no blocks. Strings like <|endoftext|> in a text are ordinary text. Extra
 columns are not read.
@@ -24,8 +21,8 @@ columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -42,9 +39,21 @@ END_ID = 0
 BLOCK = 1 << 20
 LEAST_COUNT = 16
 RULES_A_ROUND = 4096
-_CACHE_PIECES, _CACHE_CHARACTERS = 400_000, 24 << 20
-_LOOSE = re.compile(r" (?=[\s\x1c-\x1f\x85]|\Z)")
-_CUT = re.compile(r"(?= [^\s\x1c-\x1f\x85])")
+_SLOT_BITS = 21
+_CACHE_PIECES, _CACHE_IDS = 1 << 20, 4 << 20
+_LONG = 64
+
+
+def _bytes_where(test) -> np.ndarray:
+    return np.array([test(c) for c in range(256)], bool)
+
+
+_LETTER = _bytes_where(lambda c: 65 <= c <= 90 or 97 <= c <= 122)
+_PRINTED = _bytes_where(lambda c: 33 <= c <= 126)
+#: First bytes of characters that are no white space: printed ASCII and leads of sequences without spaces in their range.
+_SOLID = _bytes_where(lambda c: 33 <= c <= 126 or 0xC3 <= c <= 0xE0 or 0xE4 <= c <= 0xF4)
+_PAUSE = _bytes_where(lambda c: c in b",.")
+_BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def default_tokenizer() -> str:
@@ -63,7 +72,53 @@ def encoder_of(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+class Pieces:
+    """Hash -> place, open addressing in numpy arrays; keys are never 0."""
+
+    def __init__(self):
+        self.keys = np.zeros(1 << _SLOT_BITS, np.uint64)
+        self.places = np.zeros(1 << _SLOT_BITS, np.int32)
+        self.n = 0
+
+    def _slots(self, h: np.ndarray) -> np.ndarray:
+        return ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Places, -1 where absent. Keys differ from each other."""
+        out = np.full(len(h), -1, np.int64)
+        live, slot = np.arange(len(h)), self._slots(h)
+        while len(live):
+            k = self.keys[slot]
+            same = k == h[live]
+            out[live[same]] = self.places[slot[same]]
+            go = ~same & (k != 0)
+            live, slot = live[go], (slot[go] + 1) & ((1 << _SLOT_BITS) - 1)
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """New keys get the next places, in order."""
+        live, slot = np.arange(len(h)), self._slots(h)
+        while len(live):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            one, first = np.unique(slot[free], return_index=True)  # one key a free slot
+            who = live[free[first]]
+            self.keys[one], self.places[one] = h[who], self.n + who
+            stay = np.ones(len(live), bool)
+            stay[free[first]] = False
+            live, slot = live[stay], (slot[stay] + 1) & ((1 << _SLOT_BITS) - 1)
+        self.n += len(h)
+
+
 class Encoder:
+    """Exact encoding with a cache of pieces.
+
+    Byte-level BPE splits a text first and never merges across the splits. Some are certain from the bytes alone: before
+    a space that something solid follows, between an ASCII letter and a comma or full stop, and between a line feed
+    after printed ASCII and a letter. Texts are cut there in numpy, pieces are known by a 64-bit hash (long ones by a
+    digest), and each new piece is encoded once - those that begin with a space all in one text, which the tokenizer
+    splits between them again; the tokens' byte lengths tell where.
+    """
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -75,90 +130,105 @@ class Encoder:
         self.bytes_of = np.zeros(self.vocabulary, np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes_of[i] = len(token)
+        inverse = pow(_BASE, -1, 1 << 64)
+        self.powers, self.inverses = (np.concatenate(([np.uint64(1)], np.full((1 << 12) - 1, b, np.uint64))).cumprod(dtype=np.uint64) for b in (_BASE, inverse))
         self._reset()
 
-    def _reset(self, keep: np.ndarray | None = None) -> None:
-        """Forget the cached pieces, or all but those at the places ``keep``."""
-        if keep is None or not len(keep):
-            self.place: dict[str, int] = {}
-            self.ids, self.begins, self.uses = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
-        else:
-            names = list(self.place)
-            counts = np.diff(self.begins)[keep]
-            upto = np.concatenate(([0], np.cumsum(counts)))
-            self.ids = self.ids[np.repeat(self.begins[keep] - upto[:-1], counts) + np.arange(upto[-1])]
-            self.begins, self.uses = upto, np.zeros(len(keep), np.int64)
-            self.place = {names[i]: k for k, i in enumerate(keep.tolist())}
-        self.characters = sum(map(len, self.place))
-
-    def _add(self, pieces: list[str]) -> None:
-        """Encode new pieces as one text: it is cut between them again, and the tokens' byte lengths tell where."""
-        # pieces that begin a text have no space before them and could join the one before: they are encoded alone
-        alone = [x for x in pieces if x[0] != " "]
-        pieces = [x for x in pieces if x[0] == " "]
-        own = [e.ids for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
+    def _reset(self) -> None:
+        self.pieces = Pieces()
+        self.ids, self.begins, self.n_ids = np.zeros(1 << 18, np.uint32), np.zeros((1 << 16) + 1, np.int64), 0
+
+    def _grow(self, size: int) -> None:
+        while len(self.powers) < size:
+            n = len(self.powers)
+            last = [np.uint64(int(p[-1]) * b % (1 << 64)) for p, b in ((self.powers, _BASE), (self.inverses, pow(_BASE, -1, 1 << 64)))]
+            self.powers, self.inverses = (np.concatenate((p, p * x)) for p, x in zip((self.powers, self.inverses), last, strict=True))
+            assert len(self.powers) == 2 * n
+
+    def _add(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+        spaced = np.fromiter((p[:1] == b" " for p in pieces), bool, len(pieces))
+        alone = np.flatnonzero(~spaced)
+        own = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[i].decode() for i in alone.tolist()], add_special_tokens=False)]
         found = [np.fromiter(chain.from_iterable(own), np.uint32)]
         counts = [np.fromiter(map(len, own), np.int64, len(own))]
-        for at in range(0, len(pieces), 1 << 14):
-            few = pieces[at : at + (1 << 14)]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(few)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.cumsum(np.fromiter((len(x) if x.isascii() else len(x.encode()) for x in few), np.int64, len(few)))
+        spaced = np.flatnonzero(spaced)
+        for at in range(0, len(spaced), 1 << 14):
+            few = [pieces[i] for i in spaced[at : at + (1 << 14)].tolist()]
+            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(few).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum(np.fromiter(map(len, few), np.int64, len(few)))
             upto = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="right")
             found.append(ids)
             counts.append(np.diff(np.concatenate(([0], upto))))
-        ids, n, pieces = np.concatenate(found), np.concatenate(counts), alone + pieces
-        begins = self.begins[-1] + np.cumsum(n)
-        while begins[-1] > len(self.ids):
+        ids, n = np.concatenate(found), np.concatenate(counts)
+        first = self.pieces.n
+        while self.n_ids + len(ids) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        self.ids[self.begins[-1] : begins[-1]] = ids
-        self.place.update(zip(pieces, range(len(self.place), len(self.place) + len(pieces)), strict=True))
-        self.begins = np.concatenate((self.begins, begins))
-        self.uses = np.concatenate((self.uses, np.zeros(len(pieces), np.int64)))
-        self.characters += sum(map(len, pieces))
+        while first + len(n) + 1 > len(self.begins):
+            self.begins = np.concatenate((self.begins, np.zeros_like(self.begins)))
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.begins[first + 1 : first + len(n) + 1] = self.n_ids + np.cumsum(n)
+        self.n_ids += len(ids)
+        self.pieces.add(keys[np.concatenate((alone, spaced))])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and the id count of each."""
-        if len(self.place) > _CACHE_PIECES or self.characters > _CACHE_CHARACTERS:
-            often = np.flatnonzero(self.uses > 1)
-            self._reset(often if len(often) < _CACHE_PIECES // 2 else None)
-            if self.characters > _CACHE_CHARACTERS // 2:
-                self._reset()
-        split, counts = [], np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            if _LOOSE.search(text):
-                pieces = [x for x in _CUT.split(text) if x]
-            elif text:
-                head, *rest = text.split(" ")
-                pieces = [" " + x for x in rest]
-                if head:
-                    pieces.insert(0, head)
-            else:
-                pieces = []
-            counts[k] = len(pieces)
-            split += pieces
-        new = set(split).difference(self.place)
-        if new:
-            self._add(list(new))
-        at = np.fromiter(map(self.place.__getitem__, split), np.int64, len(split))
-        self.uses += np.bincount(at, minlength=len(self.uses))
+        if self.pieces.n > _CACHE_PIECES or self.n_ids > _CACHE_IDS:
+            self._reset()
+        raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+        doc_ends = np.cumsum(sizes)
+        raw = b"".join(raws)
+        if not raw:
+            return np.full(len(texts), END_ID, np.uint32), np.ones(len(texts), np.int64)
+        buf = np.frombuffer(raw, np.uint8)
+        n = len(buf)
+        cut = np.zeros(n + 1, bool)
+        cut[: n - 1] = (buf[:-1] == 32) & _SOLID[buf[1:]]
+        letter = _LETTER[buf]
+        cut[1:n] |= letter[:-1] & _PAUSE[buf[1:]]
+        cut[2:n] |= _PRINTED[buf[:-2]] & (buf[1:-1] == 10) & letter[2:]
+        cut[0] = cut[n] = True
+        cut[doc_ends] = True
+        edges = np.flatnonzero(cut)
+        starts, ends = edges[:-1], edges[1:]
+        self._grow(n + 1)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * self.powers[:n], out=total[1:])
+        h = (total[ends] - total[starts]) * self.inverses[starts]
+        h ^= h >> np.uint64(32)
+        for i in np.flatnonzero(ends - starts > _LONG).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        h[h == 0] = 1
+        order = np.argsort(h)
+        ordered = h[order]
+        new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+        which = np.empty(len(h), np.int64)
+        which[order] = np.cumsum(new) - 1
+        keys, sample = ordered[new], order[new]
+        place = self.pieces.find(keys)
+        absent = np.flatnonzero(place < 0)
+        if len(absent):
+            k = sample[absent]
+            self._add(keys[absent], [raw[a:b] for a, b in zip(starts[k].tolist(), ends[k].tolist(), strict=True)])
+            place[absent] = self.pieces.find(keys[absent])
+        at = place[which]
         first = self.begins[at]
         lengths = self.begins[at + 1] - first
-        total = np.concatenate(([0], np.cumsum(lengths)))
-        ids = self.ids[np.repeat(first - total[:-1], lengths) + np.arange(total[-1])]
-        upto = total[np.cumsum(counts)]
-        n_ids = np.diff(np.concatenate(([0], upto)))
-        return np.insert(ids, upto, np.uint32(END_ID)), n_ids + 1
+        upto = np.concatenate(([0], np.cumsum(lengths)))
+        ids = self.ids[np.repeat(first - upto[:-1], lengths) + np.arange(upto[-1])]
+        ends_at = upto[np.searchsorted(starts, doc_ends)]
+        return np.insert(ids, ends_at, np.uint32(END_ID)), np.diff(np.concatenate(([0], ends_at))) + 1
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, least: int = LEAST_COUNT, a_round: int = RULES_A_ROUND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``ids`` cut at ``ends`` (cumulative counts) -> rules [n, 2], sequence, the documents' ends in the sequence."""
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.int32)
     last = np.zeros(len(seq), bool)
     last[ends - 1] = True
     rules: list[np.ndarray] = []
     n = vocabulary
     while len(seq) > 1:
-        codes = seq[:-1] << 32 | seq[1:]
+        codes = seq[:-1].astype(np.int64) << 32 | seq[1:]
         ordered = np.sort(codes[~last[:-1]])
         if not len(ordered):
             break
@@ -170,13 +240,18 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, least: int = LE
         if not len(often):
             break
         pairs = np.sort(ordered[edges[often]])
-        heads, tails = np.zeros(n, bool), np.zeros(n, bool)
-        heads[pairs >> 32] = True
-        tails[pairs & 0xFFFFFFFF] = True
-        maybe = np.flatnonzero(heads[seq[:-1]] & tails[seq[1:]] & ~last[:-1])
-        which = np.minimum(np.searchsorted(pairs, codes[maybe]), len(pairs) - 1)
-        hit = pairs[which] == codes[maybe]
-        maybe, which = maybe[hit], which[hit]
+        # which pair stands at a place: a grid of the distinct left and right symbols, 0 where no pair is
+        left, right = (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
+        rows, columns = np.unique(left), np.unique(right)
+        row, column = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        row[rows] = np.arange(1, len(rows) + 1) * (len(columns) + 1)
+        column[columns] = np.arange(1, len(columns) + 1)
+        grid = np.zeros((len(rows) + 1) * (len(columns) + 1), np.int16 if len(pairs) < 1 << 15 else np.int32)
+        grid[row[left] + column[right]] = np.arange(1, len(pairs) + 1)
+        found = grid[row[seq[:-1]] + column[seq[1:]]]
+        found[last[:-1]] = 0
+        maybe = np.flatnonzero(found)
+        which = found[maybe].astype(np.int64) - 1
         # of overlapping occurrences the first, third, ... are taken
         run = np.concatenate(([True], np.diff(maybe) != 1))
         since = np.arange(len(maybe)) - np.maximum.accumulate(np.where(run, np.arange(len(maybe)), 0))

@@ -178,7 +178,8 @@ class Network:
             g[f"U{k}"] = dU
         return g, dgates
 
-    def fit(self, texts: list[str], labels: np.ndarray, seed: int = 11, steps: int = STEPS) -> Network:
+    def fit(self, texts: list[str], labels: np.ndarray, seed: int = 11, steps: int | None = None) -> Network:
+        steps = STEPS if steps is None else steps
         rng = np.random.default_rng(seed)
         place: dict[bytes, int] = {}
         at = []
