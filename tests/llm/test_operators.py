@@ -494,3 +494,14 @@ def test_ledger_policies_and_ablation(spark):
             assert r["failed"] == sum(b & bit != 0 for b in bits)
             assert r["kept_without"] == sum(b & mask & ~bit == 0 for b in bits)
     assert {r["kept_without"] for r in QR.ablations(led.limit(0)).collect()} == {0}
+
+
+def test_targets_against_resharing(spark):
+    r = np.random.default_rng(3)
+    for trial in range(12):
+        n = int(r.integers(1, 9))
+        sizes = {("s%d" % i if i else None): int(r.integers(0, 4)) ** 3 * 10 for i in range(n)}
+        df = spark.createDataFrame([(s, 1, v) for s, v in sizes.items()], "source string, __n bigint, source_size bigint")
+        got = {x["source"]: x["target"] for x in MX.targets(df).collect()}
+        want = targets_brute(sizes) if sum(sizes.values()) else dict.fromkeys(sizes, 0.0)
+        assert got == pytest.approx(want), (trial, sizes)

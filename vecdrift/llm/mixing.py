@@ -52,7 +52,8 @@ def targets(sources: DataFrame, total: Column | None = None) -> DataFrame:
     """
     by_name = Window.orderBy(F.col("source").isNull(), F.encode(F.col("source"), "UTF-8"))
     w = F.element_at(F.array(*[F.lit(x) for x in WEIGHTS]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(WEIGHTS))) + 1).cast("int"))
-    order = Window.orderBy(F.col("__cap") / F.col("__w"), F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
+    by_ratio = Window.orderBy(F.col("__cap") / F.col("__w"), F.col("source").isNull(), "source")
+    order = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
     level = sources.withColumn("__w", w).withColumn("__cap", F.col("source_size") * F.lit(MAX_EPOCHS))
     level = level.withColumns({"__total": F.sum("source_size").over(whole).cast("double"), "__all_w": F.sum("__w").over(whole)})
@@ -60,9 +61,10 @@ def targets(sources: DataFrame, total: Column | None = None) -> DataFrame:
     # level if this source and all after it are uncapped; the first source for which it stays below its cap sets it
     level = level.withColumn("__level", (F.col("__total") - F.col("__before")) / (F.col("__all_w") - F.col("__w_before")))
     level = level.withColumn("__open", F.col("__level") * F.col("__w") <= F.col("__cap"))
-    level = level.withColumn("__final", F.max_by(F.when(F.col("__open"), F.col("__level")), F.when(F.col("__open"), -F.col("__cap") / F.col("__w"))).over(whole))
+    level = level.withColumn("__place", F.row_number().over(by_ratio))
+    level = level.withColumn("__final", F.min_by("__level", F.when(F.col("__open"), F.col("__place"))).over(whole))
     return level.withColumn("target", F.when(F.col("__total") > 0, F.least(F.col("__cap"), F.col("__final") * F.col("__w"))).otherwise(F.lit(0.0))).drop(
-        "__cap", "__total", "__all_w", "__before", "__w_before", "__level", "__open", "__final", "__w"
+        "__cap", "__total", "__all_w", "__before", "__w_before", "__level", "__open", "__place", "__final", "__w"
     )
 
 
