@@ -384,9 +384,10 @@ def test_mixing_odd(spark):
 
 
 # 7 ------------------------------------------------------------------------------------------------------------------
-@pytest.mark.parametrize("hot", [2048, 1])
-def test_suffix_dedup(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "shard"), [(16_384, 1 << 20), (1, 1 << 20), (16_384, 700)])
+def test_suffix_dedup(spark, monkeypatch, hot, shard):
     monkeypatch.setattr(SD, "HOT", hot)
+    monkeypatch.setattr(SD, "SHARD", shard)
     a, b, c = prose(1, 300), prose(2, 300), prose(3, 300)
     texts = [
         a, "head " + a[50:900] + " tail", b[:399], b[:399] + "!", b[:400] + c[:300], "pre" + b[:400], "z" * 450, "ab" * 399, "y" * 400, "é" * 200 + c[10:700], "é" * 201 + c[10:600] + b[5:300],
@@ -411,6 +412,30 @@ def test_suffix_array_and_prefixes():
         assert lcp[y] == n
 
 
+@pytest.mark.parametrize("shard", [1 << 20, 2000])
+def test_shards_of_one_anchor(monkeypatch, shard):
+    monkeypatch.setattr(SD, "SHARD", shard)
+    passage = prose(1, 60).encode()[:380]
+    segments = [prose(100 + i, 60).encode()[:150] + passage + prose(200 + i % 7, 60).encode()[:150] for i in range(20)]
+    segments += segments[:2]
+    import pyarrow as pa
+
+    n = 250
+    rows = [[7] * 22, list(range(22)), [0] * 22, [10] * 22, [n] * 22, segments]
+    types = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names=["h", "k1", "k2", "p", "n", "segment"])
+    got = {k: r for out in SD._shards([batch]) for k, r in zip(out.column(0).to_pylist(), out.column(2).to_pylist(), strict=True)}
+    windows = [[s[j : j + 400] for j in range(n)] for s in segments]
+    from collections import Counter
+
+    seen = Counter(w for ws in windows for w in ws)
+    for i, ws in enumerate(windows):
+        want = {10 + j + o for j, w in enumerate(ws) if seen[w] > 1 for o in range(400)}
+        runs = got.get(i, [])
+        assert {x for a, b in zip(runs[::2], runs[1::2], strict=True) for x in range(a, b)} == want
+    assert got
+
+
 def test_every_window_has_one_anchor():
     raw = np.frombuffer(prose(5, 400).encode(), np.uint8)
     h, at, first, last = SD.anchors(raw)

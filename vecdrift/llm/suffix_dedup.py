@@ -11,11 +11,11 @@ A byte goes if a string of ``LENGTH`` = 400 bytes covers it that starts at anoth
    is built by Larsson-Sadakane refinement in numpy (8-byte start, doubling, groups of one left alone, ending at depth
    512), its common prefixes by Kasai's lemma in permuted form (only where the predecessor isn't the neighbour's
    predecessor, all such places at once, the rest by subtraction). Neighbours of 400 common bytes form classes; window
-   classes of two or more places are repeats.
-4. Anchors at more than ``HOT`` places (one passage in a third of all texts) would fill a task. Their windows are cut
-   among shards by key, each sorts its windows by 128-bit digests, and the sorted runs are merged by a global
-   aggregation and join on the digest - a repeated passage is one row a map task there. Binary search serves inside the
-   tasks; across tasks Spark's sort-merge does what it would.
+   classes of two or more places are repeats. An anchor with more segments than a shard holds fills several; their
+   windows are merged across shards by binary search in sorted digests, and what is found is compared byte by byte.
+4. Anchors at more than ``HOT`` places (one passage in a third of all texts; over about 10 MB of segments) would fill a
+   task. Their windows are counted by 128-bit digests in a global aggregation - a repeated passage is one row a map
+   task there - and joined back.
 
 All joins with the texts use a table bucketed by text key in shared storage, so texts are shuffled once.
 
@@ -38,7 +38,7 @@ from .common import delete_at_exit, materialize, shared_dir, text_or_empty
 
 LENGTH, GRAM = 400, 32
 SHARD = 1 << 20
-HOT = 2048
+HOT = 16_384
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 _STEPS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 _PLACE_BITS = np.uint64(28)
@@ -168,7 +168,37 @@ def repeated_windows(segments: list[bytes], counts: list[int]) -> list[np.ndarra
     many = np.bincount(klass[here], minlength=int(klass[-1]) + 1) > 1
     hit = np.zeros(len(buf), bool)
     hit[order] = here & many[klass]
-    return [hit[b : b + c] for b, c in zip(begins.tolist(), counts, strict=True)]
+    return [hit[b : b + c].copy() for b, c in zip(begins.tolist(), counts, strict=True)]
+
+
+def _digests(buf: np.ndarray) -> np.ndarray:
+    """Hash of the 400 bytes from each place on."""
+    n = len(buf)
+    base = int(_STEPS[0])
+    power, inverse = (np.concatenate(([np.uint64(1)], np.full(n - 1, b, np.uint64))).cumprod(dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64)))
+    total = np.concatenate(([np.uint64(0)], np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power)))
+    return _mixed((total[LENGTH:] - total[:-LENGTH]) * inverse[: n - LENGTH + 1])
+
+
+def merge_shards(shards: list[tuple[list[bytes], list[int]]], hits: list[list[np.ndarray]]) -> None:
+    """Add to each shard's hits the windows that another shard has too."""
+    sorted_shards = []
+    for segments, counts in shards:
+        raw = b"".join(segments)
+        begins = np.cumsum([0, *map(len, segments)])[:-1]
+        places = np.concatenate([b + np.arange(c) for b, c in zip(begins.tolist(), counts, strict=True)])
+        keys, sample, which = np.unique(_digests(np.frombuffer(raw, np.uint8))[places], return_index=True, return_inverse=True)
+        sorted_shards.append((raw, keys, places[sample], which, np.zeros(len(keys), bool)))
+    for i, (raw, keys, places, _, twice) in enumerate(sorted_shards):
+        for other, keys2, places2, _, twice2 in sorted_shards[:i]:
+            at = np.minimum(np.searchsorted(keys2, keys), len(keys2) - 1)
+            for a in np.flatnonzero(keys2[at] == keys).tolist():
+                b = int(at[a])
+                if raw[places[a] : places[a] + LENGTH] == other[places2[b] : places2[b] + LENGTH]:
+                    twice[a] = twice2[b] = True
+    for (_, counts), own, (*_, which, twice) in zip(shards, hits, sorted_shards, strict=True):
+        for hit, more in zip(own, np.split(twice[which], np.cumsum(counts)[:-1]), strict=True):
+            hit |= more
 
 
 def _runs(hit: np.ndarray, first: int) -> list[int]:
@@ -189,8 +219,19 @@ def _shards(batches):
     def close():
         rows: tuple[list, list, list] = ([], [], [])
         keys = list(held)
-        hits = repeated_windows([k[1] for k in keys], [held[k][0][3] for k in keys])
-        for k, hit in zip(keys, hits, strict=True):
+        shards: list[tuple[list[bytes], list[int]]] = [([], [])]
+        filled = 0
+        for n, text in keys:
+            if filled > SHARD and size > 2 * SHARD:
+                shards.append(([], []))
+                filled = 0
+            shards[-1][0].append(text)
+            shards[-1][1].append(n)
+            filled += len(text) + 1
+        parts = [repeated_windows(*x) for x in shards]
+        if len(shards) > 1:
+            merge_shards(shards, parts)
+        for k, hit in zip(keys, (h for part in parts for h in part), strict=True):
             owners = held[k]
             if len(owners) > 1:  # equal segments: each repeats the others
                 hit = np.ones(len(hit), bool)

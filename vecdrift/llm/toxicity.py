@@ -31,7 +31,9 @@ HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 16
 WORD_ROWS, CHAR_ROWS = 1 << 13, 1 << 14
 TOXIC_SAMPLE, CLEAN_SAMPLE = 2500, 5000
 TRAIN_WINDOWS = 24
-STEPS, BATCH_TOXIC, BATCH_CLEAN = 500, 24, 48
+STEPS, BATCH_TOXIC, BATCH_CLEAN = 500, 16, 64
+#: Share of words hidden from the network at each training step, so that no document is known by its rare words.
+HIDDEN_WORDS = 0.3
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 _CACHE = 150_000
@@ -208,7 +210,9 @@ class Network:
             for i, (j, s) in enumerate(zip(owner.tolist(), starts.tolist(), strict=True)):
                 piece = at[who[j]][s : s + WINDOW]
                 index[i, : len(piece)] = piece
+            index[rng.random(index.shape) < HIDDEN_WORDS] = -1
             mask = (index >= 0).astype(np.float32).T[:, :, None]
+            mask[0] = 1
             used, local = np.unique(np.maximum(index, 0), return_inverse=True)
             local = local.reshape(index.shape)
             counts = begins[used + 1] - begins[used]
