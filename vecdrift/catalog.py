@@ -45,3 +45,8 @@ def conditions(spark: SparkSession) -> DataFrame:
 
 def metrics(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(METRICS), "metric string, level string, direction int")
+
+
+def ordered_metrics(columns: list[str], level: str | None = None) -> list[str]:
+    """The catalogue's metrics that are among the columns, in catalogue order."""
+    return [m for m, at, _ in METRICS if m in columns and level in (None, at)]

@@ -46,7 +46,24 @@ def iso_noise(x: np.ndarray, severity: int, rng: np.random.Generator) -> np.ndar
     return _byte(shot + rng.normal(0.0, ISO_SIGMA[severity - 1] * 255.0, x.shape))
 
 
-REGISTRY = {"dark": dark, "iso_noise": iso_noise}
+#: Fixed values by level 1..3 of the simple augmentations.
+NOISE, BRIGHTNESS, CONTRAST = (0.02, 0.04, 0.08), (2.0, 4.0, 8.0), (0.2, 0.5, 1.0)
+
+
+def noise(x: np.ndarray, level: int, rng: np.random.Generator) -> np.ndarray:
+    return np.clip(x + rng.normal(0.0, NOISE[level - 1] * 255.0, x.shape), 0, 255)
+
+
+def brighten(x: np.ndarray, level: int, rng: np.random.Generator) -> np.ndarray:
+    return np.clip(x * BRIGHTNESS[level - 1], 0, 255)
+
+
+def flatten_contrast(x: np.ndarray, level: int, rng: np.random.Generator) -> np.ndarray:
+    """Blend with the mean."""
+    return np.clip(x.mean() + CONTRAST[level - 1] * (x - x.mean()), 0, 255)
+
+
+REGISTRY = {"dark": dark, "iso_noise": iso_noise, "noise": noise, "brightness_factor": brighten, "contrast_factor": flatten_contrast}
 
 
 def register(name: str, function) -> None:

@@ -54,3 +54,18 @@ def median_scaled(pixels: DataFrame, keys: tuple[str, ...], low: float = 1e-3, h
 
 def sigmoid_to_depth(d: Column, low: float = 0.1, high: float = 100.0) -> Column:
     return F.lit(1.0) / (F.lit(1.0 / high) + F.lit(1.0 / low - 1.0 / high) * d)
+
+
+def nearest_resize(pixels: DataFrame, shape: tuple[int, int], target: tuple[int, int], keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """keys, row, col, value of label maps resized by nearest neighbour: target place i reads place floor(i * size / target).
+
+    Each source pixel is exploded to the target places that read it, so nothing is joined or shuffled.
+    """
+
+    def readers(at: Column, size: int, new: int) -> Column:
+        first = F.ceil(at * F.lit(new) / F.lit(size)).cast("int")
+        last = (F.ceil((at + 1) * F.lit(new) / F.lit(size)) - 1).cast("int")
+        return F.when(first <= last, F.sequence(first, last))
+
+    rows = pixels.select(*keys, F.explode(readers(F.col("row"), shape[0], target[0])).alias("row"), F.col("col").alias("c"), "value")
+    return rows.select(*keys, "row", F.explode(readers(F.col("c"), shape[1], target[1])).alias("col"), "value")

@@ -947,4 +947,74 @@ def content_fingerprint(spark, d):
     return S.fingerprint(vecs(spark, d).select("id", "vec"))
 
 
+@query(f"WITH {LONGF_SQL} SELECT space, k, level, round(max(value) FILTER (metric = 'mse'), 8) AS mse, round(max(value) FILTER (metric = 'cosine'), 8) AS cosine FROM lf GROUP BY space, k, level")
+def summary_table(spark, d):
+    p = facts_long(spark, d).groupBy("space", "k", "level").pivot("metric", ["mse", "cosine"]).agg(F.max("value"))
+    return p.orderBy("space", "k", "level").withColumns({"mse": F.round("mse", 8), "cosine": F.round("cosine", 8)})
+
+
+@query(f"WITH {LONGF_SQL} SELECT space, CAST(k AS VARCHAR) AS k, level, metric, round(value, 8) AS value FROM lf")
+def results_json_load(spark, d):
+    import uuid
+
+    path = f"{store.shared_dir(spark)}/vecdrift/results-{uuid.uuid4().hex}"
+    store.nested_results(facts_long(spark, d)).select(F.col("json").alias("value")).coalesce(1).write.text(path)
+    store.delete_at_exit(spark, path)
+    return store.load_results(spark, [path]).withColumn("value", F.round("value", 8))
+
+
+@query(f"WITH {FACTS_SQL} SELECT severity, image_id, round(mse, 8) AS mse FROM f WHERE degradation = 'd1' AND severity > 0")
+def filter_condition(spark, d):
+    return facts(spark, d).where("degradation = 'd1' AND severity > 0").select("severity", "image_id", F.round("mse", 8).alias("mse"))
+
+
+@query("SELECT * FROM (VALUES ('KID', 1), ('Cos@Inc', 2), ('SSIM', 3)) m(metric, place)")
+def ordered_projection(spark, d):
+    names = catalog.ordered_metrics(["SSIM", "other", "Cos@Inc", "KID"])
+    return spark.createDataFrame([(n, i + 1) for i, n in enumerate(names)], "metric string, place int")
+
+
+@query()
+def distribution_metrics(spark, d):
+    from ..operators import metrics
+
+    e = vecs(spark, d)
+    pair = (real(e), gen(e))
+    return metrics.set_metrics({"inception": pair, "dino": pair}).withColumn("value", r6("value"))
+
+
+@query(f"WITH {PIX_SQL}, tg AS (SELECT CAST(a AS INTEGER) AS y, CAST(b AS INTEGER) AS x FROM (SELECT unnest(range(12)) AS a), (SELECT unnest(range(5)) AS b)) SELECT id, y AS \"row\", x AS col, value FROM tg JOIN px ON px.\"row\" = y * 8 // 12 AND px.col = x * 8 // 5")
+def nearest_resize(spark, d):
+    return T.nearest_resize(pixels(spark, d), (8, 8), (12, 5), ("id",))
+
+
+@query(f"WITH {COND_SQL} SELECT degradation, severity, round(stddev_pop(mse), 8) AS mse_std, CAST(count(*) AS BIGINT) AS n FROM f GROUP BY degradation, severity")
+def condition_rollup(spark, d):
+    return facts(spark, d).groupBy("degradation", "severity").agg(F.round(F.stddev_pop("mse"), 8).alias("mse_std"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n, dist, seed FROM (SELECT CAST(unnest([15, 50]) AS INTEGER) AS n), (SELECT unnest([0.1, 0.5]) AS dist), (SELECT CAST(unnest([42]) AS INTEGER) AS seed)")
+def parameter_grid(spark, d):
+    one = lambda name, values, kind: spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
+    return one("n", [15, 50], "int").crossJoin(one("dist", [0.1, 0.5], "double")).crossJoin(one("seed", [42], "int"))
+
+
+@query()
+def half_precision_cache(spark, d):
+    h = store.half_precision(vecs(spark, d).select("id", "vec"))
+    return h.select("id", r6(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x)).alias("total"))
+
+
+@query()
+def manifest(spark, d):
+    folders = spark.createDataFrame([("clean", 0, 5, 5), ("fog", 5, 9, 4)], "tag string, start int, end int, count int")
+    spaces = spark.createDataFrame([("pixel", 9, 64, 0.5)], "space string, n int, d int, seconds double")
+    return store.manifest(folders, spaces, "pooled")
+
+
+@query(f"WITH {PIX_SQL} SELECT id, round(sum(least(value * 2.0, 255)), 4) AS total FROM px GROUP BY id")
+def brightness_factor(spark, d):
+    return D.degrade(_bytes(spark, d), "brightness_factor", 1).select("id", F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
 FLAGSHIP = "p5_mixing_shifted"

@@ -7,6 +7,8 @@ import tempfile
 import uuid
 import weakref
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,3 +146,40 @@ def frame_path(root: str, frame_id: Column, degradation: Column, severity: Colum
     camera = F.when(side == "l", "image_02").when(side == "r", "image_03")
     level = F.when(degradation == "clean", F.lit("clean")).otherwise(F.concat_ws("/", degradation, severity.cast("string")))
     return F.concat_ws("/", F.lit(root), level, folder, camera, F.lit("data"), F.concat(padded_id(frame.cast("int")), F.lit(".png")))
+
+
+def manifest(folders: DataFrame, embeddings: DataFrame, mode: str) -> DataFrame:
+    """One row ``json``: mode, folder_ranges by tag (start, end, count), embeddings by space (n, d, seconds)."""
+    f = folders.agg(F.map_from_entries(F.collect_list(F.struct("tag", F.struct("start", "end", "count")))).alias("folder_ranges"))
+    e = embeddings.agg(F.map_from_entries(F.collect_list(F.struct("space", F.struct("n", "d", "seconds")))).alias("embeddings"))
+    return f.crossJoin(e).select(F.to_json(F.struct(F.lit(mode).alias("mode"), "folder_ranges", "embeddings")).alias("json"))
+
+
+def load_results(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``space, k, level, metric, value`` of nested result files (one JSON object each); missing files are skipped with a warning."""
+    import warnings
+
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    there = []
+    for p in paths:
+        path = hadoop(p)
+        if path.getFileSystem(conf).exists(path):
+            there.append(p)
+        else:
+            warnings.warn(f"no results at {p}", stacklevel=2)
+    empty = "space string, k string, level string, metric string, value double"
+    if not there:
+        return spark.createDataFrame([], empty)
+    raw = spark.read.text(there, wholetext=True).select(F.from_json("value", "map<string, map<string, map<string, map<string, double>>>>").alias("m"))
+    out = raw.select(F.explode("m").alias("space", "m")).select("space", F.explode("m").alias("k", "m"))
+    return out.select("space", "k", F.explode("m").alias("level", "m")).select("space", "k", "level", F.explode("m").alias("metric", "value"))
+
+
+def half_precision(df: DataFrame, column: str = "vec") -> DataFrame:
+    """Vectors rounded to what 16-bit floats hold (the cache's precision), as doubles."""
+    @F.pandas_udf("array<double>")
+    def rounded(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: np.asarray(x, np.float16).astype(np.float64))
+
+    return df.withColumn(column, rounded(column))
