@@ -90,7 +90,7 @@ def test_ssim():
 
 def test_constant_image_texture(spark):
     p = spark.createDataFrame([(0, r, c, 3) for r in range(2) for c in range(5)], "id int, row int, col int, value int")
-    t = PX.texture(PX.glcm(p, "id", 1), "id").first()
+    t = PX.texture(PX.glcm(p, ["id"], 1), ["id"]).first()
     assert (t["contrast"], t["homogeneity"], t["energy"], t["correlation"]) == (0, 1, 1, 1)
 
 

@@ -47,34 +47,39 @@ def histogram_intersection(pixels: DataFrame, group: str, a, b, channels: list[s
     return c.agg((F.sum(F.least("__na", "__nb")) / F.sum("__na").cast("double")).alias("histi"))
 
 
-def glcm(pixels: DataFrame, group: str, distance: int) -> DataFrame:
-    """``group, i, j, p`` of pixels ``group, row, col, value``: normalised symmetric co-occurrence at a column offset."""
-    right = pixels.select(F.col(group).alias("g2"), F.col("row").alias("r2"), (F.col("col") - distance).alias("c2"), F.col("value").alias("j"))
-    pairs = pixels.join(right, (F.col(group) == F.col("g2")) & (F.col("row") == F.col("r2")) & (F.col("col") == F.col("c2"))).select(group, F.col("value").alias("i"), "j")
-    c = pairs.union(pairs.select(group, "j", "i")).groupBy(group, "i", "j").agg(F.count(F.lit(1)).alias("n"))
-    t = c.groupBy(F.col(group).alias("g")).agg(F.sum("n").alias("t"))
-    return c.join(t, F.col(group) == F.col("g")).select(group, "i", "j", (F.col("n") / F.col("t")).alias("p"))
-
-
-def texture(p: DataFrame, group: str) -> DataFrame:
-    """``group`` and contrast, dissimilarity, homogeneity, energy, correlation of its co-occurrences."""
-    d = F.col("i") - F.col("j")
-    m = p.groupBy(group).agg(F.sum(F.col("p") * d * d).alias("contrast"), F.sum(F.col("p") * F.abs(d)).alias("dissimilarity"), F.sum(F.col("p") / (F.lit(1.0) + d * d)).alias("homogeneity"), F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("energy"), F.sum(F.col("p") * F.col("i")).alias("mi"), F.sum(F.col("p") * F.col("j")).alias("mj"), F.sum(F.col("p") * F.col("i") * F.col("i")).alias("ii"), F.sum(F.col("p") * F.col("j") * F.col("j")).alias("jj"), F.sum(F.col("p") * F.col("i") * F.col("j")).alias("ij"))
+def glcm(pixels: DataFrame, keys: list[str], distance: int) -> DataFrame:
+    """keys, ``i, j, p`` of pixels ``keys, row, col, value``: normalised symmetric co-occurrence at a column offset."""
+    right = pixels.select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col("row").alias("r_row"), (F.col("col") - distance).alias("r_col"), F.col("value").alias("j"))
+    on = [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in keys]
+    pairs = pixels.join(right, [*on, F.col("row") == F.col("r_row"), F.col("col") == F.col("r_col")]).select(*keys, F.col("value").alias("i"), "j")
+    c = pairs.union(pairs.select(*keys, "j", "i")).groupBy(*keys, "i", "j").agg(F.count(F.lit(1)).alias("n"))
+    t = c.groupBy(*[F.col(k).alias(f"t_{k}") for k in keys]).agg(F.sum("n").alias("t"))
+    return c.join(t, [F.col(k).eqNullSafe(F.col(f"t_{k}")) for k in keys]).select(*keys, "i", "j", (F.col("n") / F.col("t")).alias("p"))
+
+
+TEXTURES = ("contrast", "dissimilarity", "homogeneity", "energy", "correlation")
+
+
+def texture(p: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and contrast, dissimilarity, homogeneity, energy, correlation of the co-occurrences."""
+    i, j, w = F.col("i"), F.col("j"), F.col("p")
+    d = i - j
+    sums = {"contrast": w * d * d, "dissimilarity": w * F.abs(d), "homogeneity": w / (F.lit(1.0) + d * d), "energy": w * w, "mi": w * i, "mj": w * j, "ii": w * i * i, "jj": w * j * j, "ij": w * i * j}
+    m = p.groupBy(*keys).agg(*[F.sum(x).alias(n) for n, x in sums.items()])
     sd = F.sqrt(F.greatest((F.col("ii") - F.col("mi") * F.col("mi")) * (F.col("jj") - F.col("mj") * F.col("mj")), F.lit(0.0)))
     corr = F.when(sd < 1e-15, F.lit(1.0)).otherwise((F.col("ij") - F.col("mi") * F.col("mj")) / F.when(sd >= 1e-15, sd))
-    return m.select(group, "contrast", "dissimilarity", "homogeneity", "energy", corr.alias("correlation"))
+    return m.select(*keys, "contrast", "dissimilarity", "homogeneity", F.sqrt("energy").alias("energy"), corr.alias("correlation"))
 
 
-def texture_similarity(pixels: DataFrame, group: str, a, b, distances: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """One row ``tsi``: summed absolute differences of five texture properties at each distance."""
-    sign = F.when(F.col(group) == a, F.lit(1.0)).otherwise(F.lit(-1.0))
+def texture_similarity(pixels: DataFrame, keys: list[str], side: str, distances: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """keys, ``tsi``: of the two sides of each pair of images, summed absolute differences of five properties at each distance."""
     parts = None
     for d in distances:
-        t = texture(glcm(pixels.where(F.col(group).isin(a, b)), group, d), group)
-        names = ["contrast", "dissimilarity", "homogeneity", "energy", "correlation"]
-        one = t.agg(*[F.abs(F.sum(sign * F.col(c))).alias(c) for c in names]).select(sum((F.col(c) for c in names), F.lit(0.0)).alias("x"))
+        t = texture(glcm(pixels, [*keys, side], d), [*keys, side])
+        gaps = [F.max(c) - F.min(c) for c in TEXTURES]  # two sides: the difference without its sign
+        one = t.groupBy(*keys).agg(sum(gaps[1:], gaps[0]).alias("x"))
         parts = one if parts is None else parts.union(one)
-    return parts.agg(F.sum("x").alias("tsi"))
+    return parts.groupBy(*keys).agg(F.sum("x").alias("tsi"))
 
 
 def ssim(x: np.ndarray, y: np.ndarray, window: int = 7, value_range: float = 255.0) -> float:

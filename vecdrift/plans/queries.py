@@ -145,16 +145,16 @@ def knn_true_distance_ip(spark, d):
     return near.withColumn("distance", r6(V.true_distance(F.col("distance"), "ip")))
 
 
-@query(f"WITH {E_SQL} SELECT a.id AS query_id, b.id AS base_id, round({sq('a.v', 'b.v')}, 6) AS distance FROM e a, e b WHERE a.label = 0 AND b.label = 1")
+@query(f"WITH {E_SQL} SELECT a.id AS query_id, b.id AS base_id, round({sq('a.v', 'b.v')}, 6) AS distance FROM e a, e b WHERE a.label >= 5 AND b.label < 5")
 def pairwise_l2(spark, d):
     e = vecs(spark, d)
-    return rounded(K.pairwise_distances(e.where("label = 1"), e.where("label = 0")), "distance")
+    return rounded(K.pairwise_distances(real(e), gen(e)), "distance")
 
 
-@query(f"WITH {E_SQL} SELECT a.id AS query_id, b.id AS base_id, round(-{ip('a.v', 'b.v')}, 6) AS distance FROM e a, e b WHERE a.label = 0 AND b.label = 1")
+@query(f"WITH {E_SQL} SELECT a.id AS query_id, b.id AS base_id, round(-{ip('a.v', 'b.v')}, 6) AS distance FROM e a, e b WHERE a.label >= 5 AND b.label < 5")
 def pairwise_ip(spark, d):
     e = vecs(spark, d)
-    return rounded(K.pairwise_distances(e.where("label = 1"), e.where("label = 0"), "ip"), "distance")
+    return rounded(K.pairwise_distances(real(e), gen(e), "ip"), "distance")
 
 
 @query(f"WITH {E_SQL}, s AS (SELECT id, list_transform(v, lambda x: x * (1 + id % 7)) AS v FROM e) SELECT id, round({ip('v', 'v')}, 6) AS norm2 FROM s")
@@ -184,9 +184,9 @@ def dispersion(spark, d):
     return rounded(M.dispersion(vecs(spark, d)), "sigma")
 
 
-@query(f"WITH {LONG_SQL} SELECT CAST(a.pos AS INTEGER) AS i, CAST(b.pos AS INTEGER) AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM l a JOIN l b ON a.id = b.id AND a.pos <= b.pos WHERE a.pos < 16 AND b.pos < 16 GROUP BY a.pos, b.pos")
+@query(f"WITH {LONG_SQL} SELECT CAST(a.pos AS INTEGER) AS i, CAST(b.pos AS INTEGER) AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM l a JOIN l b ON a.id = b.id AND a.pos <= b.pos GROUP BY a.pos, b.pos")
 def covariance(spark, d):
-    return rounded(M.covariance(vecs(spark, d), dims=16), "cov")
+    return rounded(M.covariance(vecs(spark, d)), "cov")
 
 
 @query()
@@ -455,10 +455,10 @@ def aligned_cosine_mse(spark, d):
     return a.join(b, F.col("id") == F.col("bid")).select("id", r6(V.cosine(F.col("vec"), F.col("bvec"))).alias("cosine"), r6(V.mse(F.col("vec"), F.col("bvec"))).alias("mse"))
 
 
-@query(f"WITH {E_SQL}, h AS (SELECT id, v[1:8] AS a, v[9:16] AS b FROM e), n AS (SELECT *, sqrt({ip('a', 'a')}) + 1e-10 AS na, sqrt({ip('b', 'b')}) + 1e-10 AS nb FROM h) SELECT id, round(list_sum(list_transform(list_zip(a, b), lambda p, i: 0.1 * i * pow(p[1] / na - p[2] / nb, 2))), 6) AS lpips FROM n")
+@query(f"WITH {E_SQL}, h AS (SELECT id, v[1:32] AS a, v[33:64] AS b FROM e), n AS (SELECT *, sqrt({ip('a', 'a')}) + 1e-10 AS na, sqrt({ip('b', 'b')}) + 1e-10 AS nb FROM h) SELECT id, round(list_sum(list_transform(list_zip(a, b), lambda p, i: 0.1 * i * pow(p[1] / na - p[2] / nb, 2))), 6) AS lpips FROM n")
 def weighted_perceptual(spark, d):
-    e = vecs(spark, d).select("id", F.slice("vec", 1, 8).alias("a"), F.slice("vec", 9, 8).alias("b"))
-    return e.select("id", r6(V.weighted_channel_difference(F.col("a"), F.col("b"), [0.1 * i for i in range(1, 9)])).alias("lpips"))
+    e = vecs(spark, d).select("id", F.slice("vec", 1, 32).alias("a"), F.slice("vec", 33, 32).alias("b"))
+    return e.select("id", r6(V.weighted_channel_difference(F.col("a"), F.col("b"), [0.1 * i for i in range(1, 33)])).alias("lpips"))
 
 
 @query()
@@ -509,26 +509,28 @@ def histogram_intersection(spark, d):
     return rounded(X.histogram_intersection(j, "grp", "a", "b", ["x", "y", "z"]), "histi")
 
 
-GLCM_SQL = PIX_SQL + """, im AS (SELECT id, "row", col, value // 16 AS value FROM px WHERE id IN (0, 1)), off AS (SELECT unnest([1, 2, 3]) AS o),
-pr AS (SELECT o, a.id, a.value AS i, b.value AS j FROM im a JOIN im b ON a.id = b.id AND a."row" = b."row", off WHERE b.col = a.col + o),
-cc AS (SELECT o, id, i, j, count(*) AS n FROM (SELECT * FROM pr UNION ALL SELECT o, id, j, i FROM pr) GROUP BY o, id, i, j),
-pp AS (SELECT o, id, i, j, n / sum(n) OVER (PARTITION BY o, id) AS p FROM cc),
-mm AS (SELECT o, id, sum(p * (i - j) * (i - j)) AS c1, sum(p * abs(i - j)) AS c2, sum(p / (1.0 + (i - j) * (i - j))) AS c3, sqrt(sum(p * p)) AS c4, sum(p * i) AS mi, sum(p * j) AS mj, sum(p * i * i) AS ii, sum(p * j * j) AS jj, sum(p * i * j) AS ij FROM pp GROUP BY o, id),
-tx AS (SELECT o, id, c1, c2, c3, c4, (ij - mi * mj) / sqrt((ii - mi * mi) * (jj - mj * mj)) AS c5 FROM mm)"""
+GLCM_SQL = PIX_SQL + """, im AS (SELECT id, 'a' AS side, "row", col, value // 16 AS value FROM px UNION ALL SELECT id, 'b', "row", col, value // 64 * 4 FROM px), off AS (SELECT unnest([1, 2, 3]) AS o),
+pr AS (SELECT o, a.id, a.side, a.value AS i, b.value AS j FROM im a JOIN im b ON a.id = b.id AND a.side = b.side AND a."row" = b."row" JOIN off ON b.col = a.col + o),
+cc AS (SELECT o, id, side, i, j, count(*) AS n FROM (SELECT * FROM pr UNION ALL SELECT o, id, side, j, i FROM pr) GROUP BY o, id, side, i, j),
+pp AS (SELECT o, id, side, i, j, n / sum(n) OVER (PARTITION BY o, id, side) AS p FROM cc),
+mm AS (SELECT o, id, side, sum(p * (i - j) * (i - j)) AS c1, sum(p * abs(i - j)) AS c2, sum(p / (1.0 + (i - j) * (i - j))) AS c3, sqrt(sum(p * p)) AS c4, sum(p * i) AS mi, sum(p * j) AS mj, sum(p * i * i) AS ii, sum(p * j * j) AS jj, sum(p * i * j) AS ij FROM pp GROUP BY o, id, side),
+tx AS (SELECT o, id, side, c1, c2, c3, c4, CASE WHEN (ii - mi * mi) * (jj - mj * mj) < 1e-30 THEN 1 ELSE (ij - mi * mj) / sqrt((ii - mi * mi) * (jj - mj * mj)) END AS c5 FROM mm)"""
 
 
 def _images(spark, d):
-    return pixels(spark, d).where("id IN (0, 1)").withColumn("value", F.floor(F.col("value") / 16).cast("int"))
+    p = pixels(spark, d).select("id", "row", "col", "value")
+    a = p.withColumns({"side": F.lit("a"), "value": F.floor(F.col("value") / 16).cast("int")})
+    return a.unionByName(p.withColumns({"side": F.lit("b"), "value": (F.floor(F.col("value") / 64) * 4).cast("int")}))
 
 
-@query(f"WITH {GLCM_SQL} SELECT id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(p, 8) AS p FROM pp WHERE o = 2")
+@query(f"WITH {GLCM_SQL} SELECT id, side, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(p, 8) AS p FROM pp WHERE o = 2")
 def glcm(spark, d):
-    return X.glcm(_images(spark, d), "id", 2).withColumn("p", F.round("p", 8))
+    return X.glcm(_images(spark, d), ["id", "side"], 2).withColumn("p", F.round("p", 8))
 
 
-@query(f"WITH {GLCM_SQL} SELECT round(sum(abs(a.c1 - b.c1) + abs(a.c2 - b.c2) + abs(a.c3 - b.c3) + abs(a.c4 - b.c4) + abs(a.c5 - b.c5)), 6) AS tsi FROM tx a JOIN tx b ON a.o = b.o WHERE a.id = 0 AND b.id = 1")
+@query(f"WITH {GLCM_SQL} SELECT a.id, round(sum(abs(a.c1 - b.c1) + abs(a.c2 - b.c2) + abs(a.c3 - b.c3) + abs(a.c4 - b.c4) + abs(a.c5 - b.c5)), 6) AS tsi FROM tx a JOIN tx b ON a.o = b.o AND a.id = b.id WHERE a.side = 'a' AND b.side = 'b' GROUP BY a.id")
 def texture_similarity(spark, d):
-    return rounded(X.texture_similarity(_images(spark, d), "id", 0, 1), "tsi")
+    return rounded(X.texture_similarity(_images(spark, d), ["id"], "side"), "tsi")
 
 
 @query()
@@ -847,31 +849,31 @@ def sigmoid_depth(spark, d):
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r6(T.sigmoid_to_depth(F.col("l_discount"))).alias("depth"))
 
 
-BOX_SQL = E_SQL + ", bx AS (SELECT id, v[1] * 8 AS x, v[2] * 8 AS y, abs(v[3]) * 8 + 0.5 AS w, abs(v[4]) * 8 + 0.5 AS h FROM e), pr AS (SELECT b.id AS box_id, q.id AS query_id, greatest(least(b.x + b.w / 2, q.x + q.w / 2) - greatest(b.x - b.w / 2, q.x - q.w / 2), 0) * greatest(least(b.y + b.h / 2, q.y + q.h / 2) - greatest(b.y - b.h / 2, q.y - q.h / 2), 0) AS i, b.w * b.h + q.w * q.h AS u FROM bx b, bx q WHERE b.id % 2 = 0 AND q.id % 2 = 1)"
+BOX_SQL = E_SQL + ", bx AS (SELECT id, label, v[1] * 8 AS x, v[2] * 8 AS y, abs(v[3]) * 8 + 0.5 AS w, abs(v[4]) * 8 + 0.5 AS h FROM e), pr AS (SELECT b.id AS box_id, q.id AS query_id, greatest(least(b.x + b.w / 2, q.x + q.w / 2) - greatest(b.x - b.w / 2, q.x - q.w / 2), 0) * greatest(least(b.y + b.h / 2, q.y + q.h / 2) - greatest(b.y - b.h / 2, q.y - q.h / 2), 0) AS i, b.w * b.h + q.w * q.h AS u FROM bx b, bx q WHERE b.label < 5 AND q.label >= 5)"
 
 
 def boxes(spark, d, yaw: bool) -> DataFrame:
     v = F.col("vec")
-    return vecs(spark, d).select("id", F.array(v[0] * 8, v[1] * 8, F.abs(v[2]) * 8 + 0.5, F.abs(v[3]) * 8 + 0.5, v[4] * 3 if yaw else F.lit(0.0)).alias("box"))
+    return vecs(spark, d).select("id", "label", F.array(v[0] * 8, v[1] * 8, F.abs(v[2]) * 8 + 0.5, F.abs(v[3]) * 8 + 0.5, v[4] * 3 if yaw else F.lit(0.0)).alias("box"))
 
 
 @query(f"WITH {BOX_SQL} SELECT box_id, query_id, round(i / (u - i), 6) AS overlap FROM pr WHERE round(i / (u - i), 6) > 0")
 def axis_aligned_iou(spark, d):
     b = boxes(spark, d, False)
-    pairs = B.pairs_of(b.where("id % 2 = 0"), b.where("id % 2 = 1"), 4.0)
+    pairs = B.pairs_of(b.where("label < 5"), b.where("label >= 5"), 4.0)
     return pairs.select("box_id", "query_id", r6(B.axis_aligned_iou(F.col("box"), F.col("query"))).alias("overlap")).where("overlap > 0")
 
 
 @query(f"WITH {BOX_SQL} SELECT box_id, query_id, round(i / (u - i), 6) AS overlap FROM pr WHERE round(i / (u - i), 6) > 0")
 def rotated_iou_yaw_zero(spark, d):
     b = boxes(spark, d, False)
-    return rounded(B.rotated_overlap(B.pairs_of(b.where("id % 2 = 0"), b.where("id % 2 = 1"), 4.0)), "overlap").where("overlap > 0")
+    return rounded(B.rotated_overlap(B.pairs_of(b.where("label < 5"), b.where("label >= 5"), 4.0)), "overlap").where("overlap > 0")
 
 
 @query()
 def rotated_iou(spark, d):
     b = boxes(spark, d, True)
-    return rounded(B.rotated_overlap(B.pairs_of(b.where("id % 2 = 0"), b.where("id % 2 = 1"), 4.0)), "overlap").where("overlap > 0")
+    return rounded(B.rotated_overlap(B.pairs_of(b.where("label < 5"), b.where("label >= 5"), 4.0)), "overlap").where("overlap > 0")
 
 
 # 2.9 degradations ----------------------------------------------------------------------------------------------------
