@@ -386,7 +386,7 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                 whole = times[i] > 1 and len(raw) >= LENGTH
                 cut = [(0, len(raw))] if whole else _merged(r.as_py() or []) if r.is_valid else []
                 kept = kept_bytes(raw, cut)
-                for x, v in zip(rows, (len(raw), sum(b - a for a, b in cut), len(cut), hashlib.sha256(kept).hexdigest(), kept), strict=True):
+                for x, v in zip(rows, (len(raw), sum(b - a for a, b in cut), len(cut), hashlib.sha256(kept).hexdigest(), kept if with_bytes else None), strict=True):
                     x.append(v)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             made = [pa.array(x, y) for x, y in zip(rows, types, strict=True)]
