@@ -135,13 +135,14 @@ def ranks(x):
     return out
 
 
+@pytest.mark.parametrize("method", ["block", "sql"])
 @pytest.mark.parametrize("k", [2, 6])
-def test_preservation(spark, k):
+def test_preservation(spark, k, method):
     r = np.random.default_rng(3)
     x, y = r.random((10, 3)), r.random((10, 3))
     rx, ry = ranks(x), ranks(y)
     norm = N.normalizer(10, k)
-    out = {r["id"]: r for r in N.neighborhood_preservation(frame(spark, x), frame(spark, y), k).collect()}
+    out = {r["id"]: r for r in N.neighborhood_preservation(frame(spark, x), frame(spark, y), k, method).collect()}
     for i in range(10):
         t = sum(rx[i, j] - k for j in range(10) if j != i and ry[i, j] <= k < rx[i, j])
         c = sum(ry[i, j] - k for j in range(10) if j != i and rx[i, j] <= k < ry[i, j])
@@ -153,6 +154,9 @@ def test_preservation_identity_and_degenerate(spark):
     x = frame(spark, np.random.default_rng(2).random((8, 2)))
     assert all(r["trustworthiness"] == 1 == r["continuity"] for r in N.neighborhood_preservation(x, x, 3).collect())
     assert all(np.isnan(r["trustworthiness"]) for r in N.neighborhood_preservation(x, x, 7).collect())
+    for bad, k in ((x.limit(3), 2), (x, 0), (x, 8), (x.withColumn("id", x["id"] + 1), 2)):
+        with pytest.raises(ValueError):
+            N.neighborhood_preservation(x, bad, k)
 
 
 def test_mixing_separated_is_zero(spark):

@@ -70,7 +70,8 @@ def with_p(rhos: DataFrame) -> DataFrame:
     def p(rho: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([p_value(float(r), int(m)) for r, m in zip(rho, n, strict=True)])
 
-    return rhos.withColumn("p", p("rho", "n"))
+    # pandas hands NaN over as null
+    return rhos.withColumn("p", F.coalesce(p("rho", "n"), F.lit(float("nan"))))
 
 
 def fisher_mean(rho: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +23,65 @@ def full_ranks(x: DataFrame) -> DataFrame:
     return pairs.select(F.col("query_id").alias("i"), F.col("base_id").alias("j"), F.row_number().over(w).cast("bigint").alias("r"))
 
 
-def neighborhood_preservation(real: DataFrame, gen: DataFrame, k: int) -> DataFrame:
-    """``(id, trustworthiness, continuity)`` of row-aligned sets. Pairs outside both neighbourhoods never leave the join's
-    input; points without penalty stay with 1."""
-    n = real.count()
+def _penalties(x: np.ndarray, y: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Summed penalties (trust, continuity) of the given rows of aligned sets whose rows are in id order."""
+
+    def ranks(m: np.ndarray, i: int) -> np.ndarray:
+        d = ((m - m[i]) ** 2).sum(axis=1)
+        d[i] = np.inf  # last, whatever else is infinite or NaN comes before by id
+        order = np.argsort(d, kind="stable")
+        order = np.append(order[order != i], i)
+        out = np.empty(len(m), np.int64)
+        out[order] = np.arange(1, len(m) + 1)
+        return out
+
+    t, c = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+    for at, i in enumerate(rows.tolist()):
+        rx, ry = ranks(x, i), ranks(y, i)
+        rx[i] = ry[i] = len(x)
+        near_x, near_y = rx <= k, ry <= k
+        near_x[i] = near_y[i] = False
+        t[at] = (rx[near_y & ~near_x] - k).sum()
+        c[at] = (ry[near_x & ~near_y] - k).sum()
+    return t, c
+
+
+def neighborhood_preservation(real: DataFrame, gen: DataFrame, k: int, method: str = "block") -> DataFrame:
+    """``(id, trustworthiness, continuity)`` of row-aligned sets (equal ids); points without penalty have 1.
+
+    ``block``: both sets go to every task while their checked size allows, each point's two rankings are made in numpy
+    and only sums leave. ``sql``, and whatever is too large to broadcast: two rank windows joined on the pair.
+    """
+    r, g = real.select("id", F.col("vec").alias("r")), gen.select(F.col("id").alias("gid"), F.col("vec").alias("g"))
+    size = real.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
+    n = size["n"]
+    if n != gen.count() or not n:
+        raise ValueError("row-aligned sets of equal size are needed")
+    if not 1 <= k <= n - 1:
+        raise ValueError(f"k must be in [1, {n - 1}], got {k}")
     norm = normalizer(n, k)
+    if method == "sql" or 2 * n * size["d"] * 8 > K.BROADCAST_BYTES:
+        return _preservation_sql(real, gen, k, norm)
+    pairs = r.join(g, F.col("id") == F.col("gid")).select("id", "r", "g").toPandas().sort_values("id")
+    if len(pairs) != n:
+        raise ValueError("the ids of row-aligned sets differ")
+    spark = real.sparkSession
+    shared = spark.sparkContext.broadcast(tuple(np.array(pairs[c].tolist(), np.float64) for c in ("r", "g")))
+    ids = pairs["id"].to_numpy()
+    places = spark.createDataFrame(pd.DataFrame({"id": ids, "at": np.arange(n)})).repartition(min(spark.sparkContext.defaultParallelism, n))
+
+    def run(frames):
+        x, y = shared.value
+        for pdf in frames:
+            t, c = _penalties(x, y, pdf["at"].to_numpy(), k)
+            yield pd.DataFrame({"id": pdf["id"], "t": t, "c": c})
+
+    one = lambda c: F.lit(1.0) - F.lit(norm) * F.col(c)
+    return places.mapInPandas(run, "id bigint, t bigint, c bigint").select("id", one("t").alias("trustworthiness"), one("c").alias("continuity"))
+
+
+def _preservation_sql(real: DataFrame, gen: DataFrame, k: int, norm: float) -> DataFrame:
+    """Pairs outside both neighbourhoods never leave the join's input."""
     rr, rg = full_ranks(real), full_ranks(gen).toDF("i2", "j2", "rg")
     both = rr.join(rg, (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2"))).where((F.col("r") <= k) != (F.col("rg") <= k))
     sums = both.groupBy("i").agg(

@@ -266,6 +266,12 @@ def p4_preservation(spark, d):
     return rounded(N.neighborhood_preservation(half(e, 1), half(e, 33), 10), "trustworthiness", "continuity")
 
 
+@query(p4_sql(20))
+def p4_preservation_declarative(spark, d):
+    e = vecs(spark, d)
+    return rounded(N.neighborhood_preservation(half(e, 1), half(e, 33), 20, "sql"), "trustworthiness", "continuity")
+
+
 @query(p4_sql(300))
 def p4_preservation_large_k(spark, d):
     e = vecs(spark, d)
