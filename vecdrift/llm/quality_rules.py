@@ -38,7 +38,7 @@ class Rule:
 RULES = (
     Rule("few_words", "n_words < 50"),
     Rule("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
-    Rule("duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("duplicate_lines", "2 * n_dup_lines > n_lines"),
     Rule("many_symbols", "10 * n_symbols > n_words"),
     Rule("odd_word_length", "n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words)"),
     Rule("shouting", "n_words > 0 AND 2 * n_shout > n_words"),
@@ -179,7 +179,7 @@ WITH d AS (
 ), f AS (
   SELECT *, CAST(
     CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END +
-    CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 4 ELSE 0 END + CASE WHEN 10 * n_symbols > n_words THEN 8 ELSE 0 END +
+    CASE WHEN 2 * n_dup_lines > n_lines THEN 4 ELSE 0 END + CASE WHEN 10 * n_symbols > n_words THEN 8 ELSE 0 END +
     CASE WHEN n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words) THEN 16 ELSE 0 END +
     CASE WHEN n_words > 0 AND 2 * n_shout > n_words THEN 32 ELSE 0 END +
     CASE WHEN n_words > 0 AND 2 * n_exclaim > n_words THEN 64 ELSE 0 END +
