@@ -27,6 +27,10 @@ def delete_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(_delete, weakref.ref(spark), path)
 
 
+def delete_now(spark: SparkSession, path: str) -> None:
+    _delete(weakref.ref(spark), path)
+
+
 def _delete(spark_ref, path: str) -> None:
     spark = spark_ref()
     try:
