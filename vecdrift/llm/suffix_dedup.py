@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import delete_now
 from .common import delete_at_exit, materialize, shared_dir, text_or_empty
 
 LENGTH, GRAM = 400, 32
@@ -275,7 +276,16 @@ def _distinct_texts(docs: DataFrame, text_column: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     one.write.bucketBy(n, "k1", "k2").option("path", path).option("compression", "zstd").saveAsTable(name)
     delete_at_exit(spark, path)
-    return spark.table(name)
+    texts = spark.table(name)
+    texts._vd_table = name, path
+    return texts
+
+
+def _drop_texts(texts: DataFrame) -> None:
+    name, path = texts._vd_table
+    spark = texts.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    delete_now(spark, path)
 
 
 def _repeated(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -394,6 +404,7 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
     done = j.mapInArrow(finish, "k1 bigint, k2 bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_bytes)
     done = materialize(done, "deduped").withColumnsRenamed({"k1": "m1", "k2": "m2"})
+    _drop_texts(texts)  # nothing reads them any more
     own = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
     return own.join(done, (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2"))).select("doc_id", *names[2:])
 
