@@ -28,7 +28,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_secret_scan": secrets.ORACLE_SQL,
     "op2_line_dedup": line_dedup.ORACLE_SQL,
     "op5_decontaminate": decontaminate.ORACLE_SQL,
+    "op7_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,
 }

@@ -49,8 +49,8 @@ ADDED = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,250}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"sk_live_[A-Za-z0-9]{16,250}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,5000}\.eyJ[A-Za-z0-9_-]{10,5000}\.[A-Za-z0-9_-]{10,5000}"),
-    Rule("bearer", r"[Bb]earer [A-Za-z0-9_.=/+-]{20,2000}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,1000}\.eyJ[A-Za-z0-9_-]{10,1000}\.[A-Za-z0-9_-]{10,1000}"),
+    Rule("bearer", r"[Bb]earer [A-Za-z0-9_.=/+-]{20,1000}"),
 )
 RULES = BASE + ADDED
 
@@ -232,3 +232,29 @@ def brute_force(text: str | None) -> list[tuple[int, int, int]]:
             if len(m[rule.least[0]]) >= rule.least[1]:
                 out.append((m.start(), k, m.end()))
     return sorted(out)
+
+
+def _oracle() -> str:
+    """The same spans in SQL: matches are marked, texts split at the marks, lengths added up."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    parts = []
+    for k, rule in enumerate(RULES):
+        group, least = rule.least
+        enough = f"length(regexp_extract(x, {quote(rule.pattern)}, {group})) >= {least}" if least else "true"
+        parts.append(
+            f"SELECT r, {k} AS k, s, s + length(x) AS e FROM (SELECT r, p[i] AS x, i, coalesce(list_sum(list_transform(p[1:i - 1], lambda y: length(y))), 0) AS s FROM "
+            f"(SELECT r, p, unnest(range(2, len(p) + 1, 2)) AS i FROM (SELECT r, string_split_regex(regexp_replace(t, {quote(rule.pattern)}, chr(1) || '\\0' || chr(2), 'g'), '[\x01\x02]') AS p FROM d))) WHERE {enough}"
+        )
+    names = "[" + ", ".join(quote(r.kind) for r in RULES) + "]"
+    item = f"({names})[k + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT)"
+    counts = ", ".join(f"CAST(coalesce(sum(CASE WHEN k = {k} THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_{r.kind}" for k, r in enumerate(BASE))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)) AS t FROM documents),
+m AS ({" UNION ALL ".join(parts)}),
+g AS (SELECT r, {counts}, coalesce(string_agg({item}, ',' ORDER BY s, k) FILTER (k < {len(BASE)}), '') AS base, string_agg({item}, ',' ORDER BY s, k) AS spans FROM m GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (r)
+"""
+
+
+ORACLE_SQL = _oracle()

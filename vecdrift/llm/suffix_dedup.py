@@ -430,3 +430,28 @@ def brute_force(texts: list[str | None], length: int = LENGTH) -> list[tuple[int
         spans = int((np.diff(np.concatenate(([0], covered.astype(np.int8)))) == 1).sum())
         out.append((len(r), int(covered.sum()), spans, hashlib.sha256(bytes(np.frombuffer(r, np.uint8)[~covered])).hexdigest()))
     return out
+
+
+#: Every window of every text by its md5, then islands of repeated ones.
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT r, p, md5(substr(h, 2 * p + 1, 800)) AS m FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 399)) AS p FROM d WHERE length(h) >= 800)
+), x AS (
+  SELECT r, p FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)
+), i AS (
+  SELECT r, p, sum(CASE WHEN q IS NULL OR p - q > 400 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS g
+  FROM (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS q FROM x)
+), s AS (
+  SELECT r, min(p) AS a, max(p) + 400 AS b FROM i GROUP BY r, g
+), l AS (
+  SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS c FROM s
+), k AS (
+  SELECT l.r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS e, string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) AS kept
+  FROM l JOIN d ON d.r = l.r GROUP BY l.r
+)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept || substr(h, 2 * e + 1), h))) AS kept_sha256
+FROM d LEFT JOIN k ON d.r = k.r
+"""
