@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 from .common import chunks, materialize, text_or_empty
 
 NGRAM = 10
-BLOCK_BYTES = 16 << 20
+#: About 300 bytes of Python objects a window: some 100 MB a worker.
+BLOCK_BYTES = 2 << 20
 _B = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes to themselves if they are in a word (lower-cased), else to a space.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
