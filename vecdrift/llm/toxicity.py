@@ -210,9 +210,10 @@ class Network:
             for i, (j, s) in enumerate(zip(owner.tolist(), starts.tolist(), strict=True)):
                 piece = at[who[j]][s : s + WINDOW]
                 index[i, : len(piece)] = piece
-            index[rng.random(index.shape) < HIDDEN_WORDS] = -1
+            hide = rng.random(index.shape) < HIDDEN_WORDS
+            hide[:, 0] = False  # no window without words
+            index[hide] = -1
             mask = (index >= 0).astype(np.float32).T[:, :, None]
-            mask[0] = 1
             used, local = np.unique(np.maximum(index, 0), return_inverse=True)
             local = local.reshape(index.shape)
             counts = begins[used + 1] - begins[used]
