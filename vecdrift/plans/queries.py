@@ -1001,7 +1001,7 @@ def condition_rollup(spark, d):
     return facts(spark, d).groupBy("degradation", "severity").agg(F.round(F.stddev_pop("mse"), 8).alias("mse_std"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT n, dist, seed FROM (SELECT CAST(unnest([15, 50]) AS INTEGER) AS n), (SELECT unnest([0.1, 0.5]) AS dist), (SELECT CAST(unnest([42]) AS INTEGER) AS seed)")
+@query("SELECT n, dist, seed FROM (SELECT CAST(unnest([15, 50]) AS INTEGER) AS n), (SELECT CAST(unnest([0.1, 0.5]) AS DOUBLE) AS dist), (SELECT CAST(unnest([42]) AS INTEGER) AS seed)")
 def parameter_grid(spark, d):
     one = lambda name, values, kind: spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
     return one("n", [15, 50], "int").crossJoin(one("dist", [0.1, 0.5], "double")).crossJoin(one("seed", [42], "int"))
@@ -1020,7 +1020,7 @@ def manifest(spark, d):
     return store.manifest(folders, spaces, "pooled")
 
 
-@query(f"WITH {PIX_SQL} SELECT id, round(sum(least(value * 2.0, 255)), 4) AS total FROM px GROUP BY id")
+@query(f"WITH {PIX_SQL} SELECT id, CAST(sum(least(value * 2, 255)) AS DOUBLE) AS total FROM px GROUP BY id")
 def brightness_factor(spark, d):
     return D.degrade(_bytes(spark, d), "brightness_factor", 1).select("id", F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
