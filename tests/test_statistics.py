@@ -37,6 +37,9 @@ def test_kid(spark):
     off = lambda m: (m.sum() - np.trace(m)) / (len(m) * (len(m) - 1))
     want = off(k(x, x)) + off(k(y, y)) - 2 * k(x, y).mean()
     assert M.kid(frame(spark, x), frame(spark, y), 3).first()["kid"] == pytest.approx(want)
+    assert M._kid_sql(frame(spark, x), frame(spark, y), 3).first()["kid"] == pytest.approx(want)
+    with pytest.raises(ValueError):
+        M.kid(frame(spark, x[:1]), frame(spark, y), 3)
 
 
 def test_pca(spark):

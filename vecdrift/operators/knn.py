@@ -48,8 +48,13 @@ def check_sets(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool)
 def _whitened(df: DataFrame, inv_cov: np.ndarray) -> DataFrame:
     """x -> L'x with L L' = inverse covariance, so Mahalanobis becomes squared L2."""
     low = np.linalg.cholesky(np.asarray(inv_cov, np.float64))
-    columns = low.T
-    return df.withColumn("vec", F.array(*[V.dot(F.array(*[F.lit(float(x)) for x in row]), F.col("vec")) for row in columns]))
+
+    def run(frames):
+        for pdf in frames:
+            if len(pdf):
+                yield pd.DataFrame({"id": pdf["id"], "vec": list(_matrix(pdf["vec"]) @ low)})
+
+    return df.select("id", "vec").mapInPandas(run, "id bigint, vec array<double>")
 
 
 def _distance_matrix(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:

@@ -99,24 +99,60 @@ def frechet(a: DataFrame, b: DataFrame, ridge: float = 1e-6) -> float:
     return float(((m1 - m2) ** 2).sum() + np.trace(c1) + np.trace(c2) - 2 * cross)
 
 
+def _kernel_sum(rows: DataFrame, base: np.ndarray, same: bool) -> DataFrame:
+    """One row ``s``: the kernel (x.y / D + 1)^3 summed over all pairs of a row and a base row, without a row's own."""
+    shared = rows.sparkSession.sparkContext.broadcast(base)
+
+    def run(frames):
+        m = shared.value
+        d = m.shape[1]
+        total = 0.0
+        for pdf in frames:
+            x = np.array(pdf["vec"].tolist(), np.float64).reshape(-1, d)
+            for at in range(0, len(x), 512):
+                few = x[at : at + 512]
+                total += float((((few @ m.T) / d + 1) ** 3).sum())
+                if same:
+                    total -= float((((few * few).sum(axis=1) / d + 1) ** 3).sum())
+        yield pd.DataFrame({"s": [total]})
+
+    return rows.select("vec").mapInPandas(run, "s double").agg(F.sum("s").alias("s"))
+
+
 def kid(a: DataFrame, b: DataFrame, dim: int) -> DataFrame:
     """One row: the unbiased squared maximum mean discrepancy of the whole sets, kernel (x.y / D + 1)^3.
 
-    The cubed kernel expands into inner products of tensor powers; over whole sets we state the pair sums, each side
-    dealt out and the other broadcast or shuffled by Spark as its size asks for.
+    While each set's checked size allows, it is broadcast and pairs are matrix products whose sums alone leave a task;
+    larger sets are stated as pair sums in SQL, both sides distributed.
     """
+    from .knn import BROADCAST_BYTES
+
+    n, m = a.count(), b.count()
+    if min(n, m) < 2:
+        raise ValueError("two rows a set are needed")
+    if max(n, m) * dim * 8 > BROADCAST_BYTES:
+        return _kid_sql(a, b, dim)
+    spread = a.sparkSession.sparkContext.defaultParallelism
+    left, right = (np.array(x.select("vec").toPandas()["vec"].tolist(), np.float64) for x in (a, b))
+    a, b = a.repartition(spread), b.repartition(spread)
+    xx, yy, xy = _kernel_sum(a, left, True), _kernel_sum(b, right, True), _kernel_sum(a, right, False)
+    j = xx.toDF("xx").crossJoin(yy.toDF("yy")).crossJoin(xy.toDF("xy"))
+    return j.select((F.col("xx") / (n * (n - 1)) + F.col("yy") / (m * (m - 1)) - F.lit(2.0) * F.col("xy") / (n * m)).alias("kid"))
+
+
+def _kid_sql(a: DataFrame, b: DataFrame, dim: int) -> DataFrame:
     x = a.select(F.col("id").alias("i"), F.col("vec").alias("v"))
     y = b.select(F.col("id").alias("j"), F.col("vec").alias("w"))
     spread = a.sparkSession.sparkContext.defaultParallelism
     kernel = F.pow(V.dot(F.col("v"), F.col("w"), dim) / F.lit(float(dim)) + F.lit(1.0), F.lit(3.0))
 
     def within(s):
-        t = s.toDF("j", "w")
-        pairs = s.toDF("i", "v").repartition(spread).crossJoin(t).where("i <> j")
+        pairs = s.toDF("i", "v").repartition(spread).crossJoin(s.toDF("j", "w")).where("i <> j")
         return pairs.agg((F.sum(kernel) / F.count(F.lit(1))).alias("k"))
 
     cross = x.repartition(spread).crossJoin(y).agg(F.avg(kernel).alias("xy"))
-    return within(x).withColumnRenamed("k", "xx").crossJoin(within(y.toDF("i", "v")).withColumnRenamed("k", "yy")).crossJoin(cross).select((F.col("xx") + F.col("yy") - F.lit(2.0) * F.col("xy")).alias("kid"))
+    parts = within(x).withColumnRenamed("k", "xx").crossJoin(within(y).withColumnRenamed("k", "yy")).crossJoin(cross)
+    return parts.select((F.col("xx") + F.col("yy") - F.lit(2.0) * F.col("xy")).alias("kid"))
 
 
 def kid_subsets(a: DataFrame, b: DataFrame, subsets: int = 50, size: int = 1000, seed: int = 0) -> DataFrame:
