@@ -314,48 +314,55 @@ def removed_runs(texts: DataFrame) -> DataFrame:
     marks = found.join(again, F.col("h") == F.col("r_h")).groupBy("k1", "k2").agg(F.collect_list(F.struct("p", (F.col("times") > HOT).alias("hot"))).alias("marks"))
     marked = long.join(marks.withColumnsRenamed({"k1": "m1", "k2": "m2"}), (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2"))).select("k1", "k2", "text", "marks")
 
-    def cut(batches, hot_ones):
-        names = ["h", "k1", "k2", "p", "n", "segment"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    def chosen(batches, hot_ones):
+        """(key 1, key 2, bytes, hash, first, last window) of every marked anchor of the wanted kind."""
         for batch in batches:
             k1, k2 = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows: list[list] = [[] for _ in names]
             for i, text in enumerate(batch.column(2)):
                 raw = text.as_py().encode("utf-8", "surrogatepass")
                 h, at, first, last = anchors(np.frombuffer(raw, np.uint8))
                 wanted = [m["p"] for m in batch.column(3)[i].as_py() if m["hot"] == hot_ones]
                 h = h.view(np.int64)
                 for j in np.searchsorted(at, sorted(wanted)).tolist():
-                    a, b = int(first[j]), int(last[j])
-                    for x, v in zip(rows, (int(h[j]), k1[i], k2[i], a, b - a + 1, raw[a : b + LENGTH]), strict=True):
-                        x.append(v)
-                if len(rows[0]) > 8192:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names=names)
-                    rows = [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names=names)
+                    yield k1[i], k2[i], raw, int(h[j]), int(first[j]), int(last[j])
 
-    def segments(hot_ones: bool) -> DataFrame:
-        some = marked.where(F.exists("marks", lambda m: m["hot"] == F.lit(hot_ones)))
-        return some.mapInArrow(lambda batches: cut(batches, hot_ones), "h bigint, k1 bigint, k2 bigint, p bigint, n int, segment binary")
-
-    dealt = segments(False).repartition("h").sortWithinPartitions("h").mapInArrow(_shards, "k1 bigint, k2 bigint, runs array<bigint>")
+    def cut(batches):
+        names = ["h", "k1", "k2", "p", "n", "segment"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        rows: list[list] = [[] for _ in names]
+        for k1, k2, raw, h, a, b in chosen(batches, False):
+            for x, v in zip(rows, (h, k1, k2, a, b - a + 1, raw[a : b + LENGTH]), strict=True):
+                x.append(v)
+            if len(rows[0]) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names=names)
+                rows = [[] for _ in names]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names=names)
 
     def digests(batches):
-        for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for i in range(batch.num_rows):
-                n = batch.column(4)[i].as_py()
-                raw, p = batch.column(5)[i].as_py(), batch.column(3)[i].as_py()
-                d = np.array([np.frombuffer(hashlib.blake2b(raw[j : j + LENGTH], digest_size=16).digest(), np.int64) for j in range(n)])
-                for x, v in zip(out, (d[:, 0], d[:, 1], np.full(n, batch.column(1)[i].as_py()), np.full(n, batch.column(2)[i].as_py()), p + np.arange(n)), strict=True):
-                    x.append(v)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["d1", "d2", "k1", "k2", "p"])
-
+        names = ["d1", "d2", "k1", "k2", "p"]
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (zip(*held, strict=True) if held else [()] * 5)], names=names)
+
+        for k1, k2, raw, _, a, b in chosen(batches, True):
+            n = b - a + 1
+            d = np.frombuffer(b"".join(hashlib.blake2b(raw[j : j + LENGTH], digest_size=16).digest() for j in range(a, b + 1)), np.int64).reshape(n, 2)
+            held.append((d[:, 0], d[:, 1], np.full(n, k1), np.full(n, k2), np.arange(a, b + 1)))
+            size += n
+            if size >= 1 << 15:  # a few MB
+                yield batch()
+                held, size = [], 0
+        yield batch()
+
+    some = lambda hot_ones: marked.where(F.exists("marks", lambda m: m["hot"] == F.lit(hot_ones)))
+    dealt = some(False).mapInArrow(cut, "h bigint, k1 bigint, k2 bigint, p bigint, n int, segment binary")
+    dealt = dealt.repartition("h").sortWithinPartitions("h").mapInArrow(_shards, "k1 bigint, k2 bigint, runs array<bigint>")
     hot = again.where(F.col("times") > HOT)
     if hot.isEmpty():
         return dealt
-    windows = materialize(segments(True).mapInArrow(digests, "d1 bigint, d2 bigint, k1 bigint, k2 bigint, p bigint"), "hot-windows")
+    windows = materialize(some(True).mapInArrow(digests, "d1 bigint, d2 bigint, k1 bigint, k2 bigint, p bigint"), "hot-windows")
     twice = _repeated(windows, ["d1", "d2"], "repeated-windows")
     of_hot = windows.join(twice, (F.col("d1") == F.col("r_d1")) & (F.col("d2") == F.col("r_d2"))).select("k1", "k2", F.array("p", F.col("p") + LENGTH).alias("runs"))
     return dealt.unionByName(of_hot)
