@@ -412,6 +412,24 @@ def test_suffix_array_and_prefixes():
         assert lcp[y] == n
 
 
+def test_repeats_behind_runs_without_prefix():
+    from collections import Counter
+
+    passage = prose(7, 100).encode()[:440]
+    segments = [passage + b"a", b"header\n" + passage + b"b"]  # after the least byte comes what the shard begins with
+    counts = [len(s) - 399 for s in segments]
+    seen = Counter(s[j : j + 400] for s, n in zip(segments, counts, strict=True) for j in range(n))
+    want = [[seen[s[j : j + 400]] > 1 for j in range(n)] for s, n in zip(segments, counts, strict=True)]
+    assert [h.tolist() for h in SD.repeated_windows(segments, counts)] == want and all(map(any, want))
+
+
+def test_prefixes_of_any_length():
+    s = prose(8, 300).encode()[:1500]
+    buf = np.frombuffer(s + b"a" + s + b"b", np.uint8)
+    lcp = SD.common_prefixes(*SD.suffix_array(buf, depth=4000))
+    assert (np.maximum(lcp[:1500], lcp[1501:3001]) >= np.arange(1500, 0, -1)).all() and lcp.max() == 1500
+
+
 @pytest.mark.parametrize("shard", [1 << 20, 2000])
 def test_shards_of_one_anchor(monkeypatch, shard):
     monkeypatch.setattr(SD, "SHARD", shard)

@@ -10,8 +10,8 @@ A byte goes if a string of ``LENGTH`` = 400 bytes covers it that starts at anoth
    windows that could be equal meet in one task. There segments fill shards of ``SHARD`` bytes; a shard's suffix array
    is built by Larsson-Sadakane refinement in numpy (8-byte start, doubling, groups of one left alone, ending at depth
    512), its common prefixes by Kasai's lemma in permuted form (only where the predecessor isn't the neighbour's
-   predecessor, all such places at once, the rest by subtraction). Neighbours of 400 common bytes form classes; window
-   classes of two or more places are repeats. An anchor with more segments than a shard holds fills several; their
+   predecessor or the bytes before the two differ, all such places at once, the rest by subtraction). Neighbours of
+   400 common bytes form classes; window classes of two or more places are repeats. An anchor with more segments than a shard holds fills several; their
    windows are merged across shards by binary search in sorted digests, and what is found is compared byte by byte.
 4. Anchors at more than ``HOT`` places (one passage in a third of all texts; over about 10 MB of segments) would fill a
    task. Their windows are counted by 128-bit digests in a global aggregation - a repeated passage is one row a map
@@ -123,20 +123,23 @@ def suffix_array(buf: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.n
     return order, word
 
 
-def common_prefixes(order: np.ndarray, word: np.ndarray, depth: int = 1024) -> np.ndarray:
-    """Common prefix of each suffix (by text place) with its predecessor in the order, true up to ``depth``."""
+def common_prefixes(order: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Common prefix of each suffix (by text place) with its predecessor in the order, whole at any length."""
     n = len(order)
     before = np.empty(n, np.int64)
     before[order[1:]] = order[:-1]
     before[order[0]] = -1
     own = np.ones(n, bool)
-    own[1:] = before[1:] != before[:-1] + 1
+    # the left neighbour's prefix is longer by one only if it has one: a predecessor that begins with the same byte
+    front = word >> np.uint64(56)
+    own[1:] = (before[1:] != before[:-1] + 1) | (before[:-1] < 0) | (front[:-1] != front[before[:-1]])
     at = np.flatnonzero(own & (before >= 0))
     other = before[at]
     found = np.zeros(n, np.int64)
     size = np.zeros(len(at), np.int64)
     live = np.arange(len(at))
-    for step in range(0, depth, 8):
+    step = 0
+    while len(live):
         a, b = at[live] + step, other[live] + step
         inside = np.maximum(a, b) < n
         x = np.where(inside, word[np.minimum(a, n - 1)] ^ word[np.minimum(b, n - 1)], np.uint64(1 << 63))
@@ -145,9 +148,7 @@ def common_prefixes(order: np.ndarray, word: np.ndarray, depth: int = 1024) -> n
         # whole equal bytes at the front of the word
         size[d] = step + sum((xd >> np.uint64(8 * k) == 0).astype(np.int64) for k in range(1, 8))
         live = live[~differs]
-        size[live] = step + 8
-        if not len(live):
-            break
+        step += 8
     found[at] = size
     start = np.maximum.accumulate(np.where(own, np.arange(n), 0))
     out = np.maximum(found[start] - (np.arange(n) - start), 0)
