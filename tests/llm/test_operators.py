@@ -486,6 +486,27 @@ def test_token_output(spark, monkeypatch):
     assert [x[:2] for x in odd_ids] == [(False, 0), (True, 5), (True, 5)] and [x[2] for x in odd_ids] == [0, 2, 4]
 
 
+def test_more_pieces_than_slots(monkeypatch):
+    import signal
+
+    monkeypatch.setattr(TO, "_SLOT_BITS", 6)
+    enc = TO.Encoder(TO.default_tokenizer())
+    texts = [" ".join(f"id{i:x}" for i in range(3000)), prose(3, 200)]
+
+    def late(*_):
+        raise TimeoutError("the piece table is full")
+
+    signal.signal(signal.SIGALRM, late)
+    signal.alarm(60)
+    try:
+        ids, counts = enc.encode(texts)
+        again = enc.encode(texts)
+    finally:
+        signal.alarm(0)
+    want = [[*enc.tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert enc.pieces.n > 64 and ids.tolist() == sum(want, []) == again[0].tolist() and counts.tolist() == [len(w) for w in want]
+
+
 def test_repair_round_trip_and_random_access():
     r = np.random.default_rng(0)
     docs = [np.append(np.tile(r.integers(0, 6, int(r.integers(1, 9))), int(r.integers(1, 60))), 0) for _ in range(60)]

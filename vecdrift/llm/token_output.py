@@ -73,15 +73,16 @@ def encoder_of(path: str) -> Encoder:
 
 
 class Pieces:
-    """Hash -> place, open addressing in numpy arrays; keys are never 0."""
+    """Hash -> place, open addressing in numpy arrays that double before they fill; keys are never 0."""
 
     def __init__(self):
-        self.keys = np.zeros(1 << _SLOT_BITS, np.uint64)
-        self.places = np.zeros(1 << _SLOT_BITS, np.int32)
+        self.bits = _SLOT_BITS
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.places = np.zeros(1 << self.bits, np.int32)
         self.n = 0
 
     def _slots(self, h: np.ndarray) -> np.ndarray:
-        return ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        return ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Places, -1 where absent. Keys differ from each other."""
@@ -92,21 +93,36 @@ class Pieces:
             same = k == h[live]
             out[live[same]] = self.places[slot[same]]
             go = ~same & (k != 0)
-            live, slot = live[go], (slot[go] + 1) & ((1 << _SLOT_BITS) - 1)
+            live, slot = live[go], (slot[go] + 1) & ((1 << self.bits) - 1)
         return out
 
     def add(self, h: np.ndarray) -> None:
         """New keys get the next places, in order."""
+        self._widen(self.n + len(h))
+        self._put(h, np.arange(self.n, self.n + len(h)))
+        self.n += len(h)
+
+    def _widen(self, n: int) -> None:
+        """So many slots that ``n`` keys fill three quarters at most: a full table would be searched without end."""
+        if 4 * n <= 3 << self.bits:
+            return
+        used = np.flatnonzero(self.keys)
+        keys, places = self.keys[used], self.places[used]
+        while 4 * n > 3 << self.bits:
+            self.bits += 1
+        self.keys, self.places = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        self._put(keys, places)
+
+    def _put(self, h: np.ndarray, places: np.ndarray) -> None:
         live, slot = np.arange(len(h)), self._slots(h)
         while len(live):
             free = np.flatnonzero(self.keys[slot] == 0)
             one, first = np.unique(slot[free], return_index=True)  # one key a free slot
             who = live[free[first]]
-            self.keys[one], self.places[one] = h[who], self.n + who
+            self.keys[one], self.places[one] = h[who], places[who]
             stay = np.ones(len(live), bool)
             stay[free[first]] = False
-            live, slot = live[stay], (slot[stay] + 1) & ((1 << _SLOT_BITS) - 1)
-        self.n += len(h)
+            live, slot = live[stay], (slot[stay] + 1) & ((1 << self.bits) - 1)
 
 
 class Encoder:
