@@ -175,3 +175,17 @@ def test_in_degree_sums(spark, n, k, seed):
     assert sum(r["in_degree"] for r in d.collect()) == n * k
     assert all(r["overlap"] == 1 for r in N.neighbor_overlap(near, near, k).collect())
     assert all(r["src"] < r["dst"] for r in N.mutual_graph(near, k).collect())
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+@pytest.mark.parametrize("exclude_self", [True, False])
+def test_ties_over_the_candidates(metric, exclude_self):
+    r = np.random.default_rng(4)
+    x = np.concatenate((np.repeat(r.normal(size=(3, 6)) + 50, 60, axis=0), r.normal(size=(40, 6))))
+    ids = r.permutation(len(x))
+    got = K.top_k(ids, x, ids, x, 5, metric, exclude_self)
+    exact = -np.einsum("ij,kj->ik", x, x) if metric == "ip" else ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    for i, q in enumerate(ids):
+        order = [j for j in np.lexsort((ids, exact[i])) if not exclude_self or j != i][:5]
+        mine = got[got["query_id"] == q]
+        assert mine["neighbor_id"].tolist() == ids[order].tolist() and np.allclose(mine["distance"], exact[i][order])

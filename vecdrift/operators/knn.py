@@ -65,8 +65,13 @@ def _distance_matrix(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 
 
 def top_k(q_ids, q, b_ids, b, k: int, metric: str, exclude_self: bool) -> pd.DataFrame:
-    """k nearest of one block pair. Candidates by GEMM with some to spare, then exact distances, then (distance, id)."""
+    """k nearest of one block pair. Candidates by GEMM with some to spare, then exact distances, then (distance, id).
+
+    Where more rows than those are as near as the k-th candidate, up to GEMM's rounding, all of them are candidates.
+    """
     out = []
+    norms = np.sqrt((b * b).sum(axis=1))
+    reach = norms[np.isfinite(norms)].max(initial=0.0)
     for at in range(0, len(q), 1024):
         x, ids = q[at : at + 1024], q_ids[at : at + 1024]
         d = _distance_matrix(x, b, metric)
@@ -78,7 +83,17 @@ def top_k(q_ids, q, b_ids, b, k: int, metric: str, exclude_self: bool) -> pd.Dat
         exact = -np.einsum("ij,ikj->ik", x, b[near]) if metric == "ip" else ((x[:, None, :] - b[near]) ** 2).sum(axis=2)
         exact[~np.isfinite(np.take_along_axis(d, near, axis=1))] = np.inf
         order = np.lexsort((b_ids[near], exact), axis=1)[:, :k]
+        if m < len(b):
+            held = np.take_along_axis(d, near, axis=1)
+            error = 4 * (x.shape[1] + 8) * np.finfo(np.float64).eps * (np.sqrt((x * x).sum(axis=1)) + reach) ** 2
+            limit = np.partition(held, k - 1, axis=1)[:, k - 1] + error
+            cut = np.isfinite(limit) & ((d <= limit[:, None]).sum(axis=1) > (held <= limit[:, None]).sum(axis=1))
         near, exact = np.take_along_axis(near, order, axis=1), np.take_along_axis(exact, order, axis=1)
+        for i in np.flatnonzero(cut).tolist() if m < len(b) else ():
+            c = np.flatnonzero((d[i] <= limit[i]) & np.isfinite(d[i]))
+            e = -np.einsum("j,kj->k", x[i], b[c]) if metric == "ip" else ((x[i] - b[c]) ** 2).sum(axis=1)
+            order = np.lexsort((b_ids[c], e))[:k]
+            near[i], exact[i] = c[order], e[order]
         frame = pd.DataFrame({"query_id": np.repeat(ids, near.shape[1]), "neighbor_id": b_ids[near].reshape(-1), "distance": exact.reshape(-1), "rank": np.tile(np.arange(1, near.shape[1] + 1), len(x))})
         out.append(frame[np.isfinite(frame["distance"])])
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": [], "rank": []})
