@@ -64,6 +64,21 @@ def test_secrets(spark):
     assert SE.digest(table(spark, texts).limit(0)).count() == 0
 
 
+def test_long_tokens(spark):
+    tokens = {
+        "jwt": "eyJ" + "a" * 20 + ".eyJ" + "Q" * 3000 + "." + "w" * 1500,
+        "bearer": "Bearer " + "q" * 3000,
+        "github": "ghp_" + "Z" * 300,
+        "slack": "xoxb-" + "Y" * 300,
+        "stripe": "sk_live_" + "X" * 300,
+    }
+    docs = table(spark, [f"see {t} end" for t in tokens.values()])
+    got = {r["doc_id"]: r["spans"].split(",") for r in SE.digest(docs).collect()}
+    for i, (kind, t) in enumerate(tokens.items()):
+        assert f"{kind}:4:{4 + len(t)}" in got[i]
+    assert {r["text"] for r in SE.redact(docs).collect()} == {"see [SECRET] end"}
+
+
 def test_trigram_queries_are_necessary():
     for rule in SE.RULES:
         q = SE.QUERIES[rule.kind]
