@@ -404,11 +404,14 @@ def test_suffix_dedup(spark, monkeypatch, hot, shard):
     monkeypatch.setattr(SD, "HOT", hot)
     monkeypatch.setattr(SD, "SHARD", shard)
     a, b, c = prose(1, 300), prose(2, 300), prose(3, 300)
+    small = " ".join(w[:4] for w in prose(12, 90).split())
+    passage = small[: small.index(" ", 262)]  # over 50 words, under 400 bytes
     texts = [
         a, "head " + a[50:900] + " tail", b[:399], b[:399] + "!", b[:400] + c[:300], "pre" + b[:400], "z" * 450, "ab" * 399, "y" * 400, "é" * 200 + c[10:700], "é" * 201 + c[10:600] + b[5:300],
-        c[:250] + a[:250], c[:700], "u" + a[100:499], *ODD,
+        c[:250] + a[:250], c[:700], "u" + a[100:499],
+        prose(20, 70) + "\n" + passage + ". " + prose(21, 70), passage + " " + prose(22, 5), "cut" + passage, passage + "s " + passage, "w " * 300, "  " + small[:300], "  " + small[:300], *ODD,
     ]
-    got = by_id(SD.digest(table(spark, texts)), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    got = by_id(SD.digest(table(spark, texts)), "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_bytes")
     assert got == sorted([(i, *x) for i, x in enumerate(SD.brute_force(texts))], key=str)
     assert SD.digest(table(spark, texts).limit(0)).count() == 0
     kept = {r["doc_id"]: r["kept"] for r in SD.dedup(table(spark, ["short", None], ids=[None, 2]), with_bytes=True).collect()}
@@ -454,9 +457,9 @@ def test_shards_of_one_anchor(monkeypatch, shard):
     import pyarrow as pa
 
     n = 250
-    rows = [[7] * 22, list(range(22)), [0] * 22, [10] * 22, [n] * 22, segments]
-    types = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
-    batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names=["h", "k1", "k2", "p", "n", "segment"])
+    rows = [[7] * 22, list(range(22)), [0] * 22, [10] * 22, [n] * 22, [True] * 22, segments]
+    types = [pa.int64()] * 4 + [pa.int32(), pa.bool_(), pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names=["h", "k1", "k2", "p", "n", "w", "segment"])
     got = {k: r for out in SD._shards([batch]) for k, r in zip(out.column(0).to_pylist(), out.column(2).to_pylist(), strict=True)}
     windows = [[s[j : j + 400] for j in range(n)] for s in segments]
     from collections import Counter
@@ -472,10 +475,30 @@ def test_shards_of_one_anchor(monkeypatch, shard):
 def test_every_window_has_one_anchor():
     raw = np.frombuffer(prose(5, 400).encode(), np.uint8)
     h, at, first, last = SD.anchors(raw)
-    assert first[0] == 0 and last[-1] == len(raw) - 400 and (first[1:] == last[:-1] + 1).all()
-    assert (at >= last).all() and (at + 32 <= first + 400).all()
+    assert first[0] == 0 and last[-1] == len(raw) - SD.SHORTEST and (first[1:] == last[:-1] + 1).all()
+    assert (at >= last).all() and (at + 32 <= first + SD.SHORTEST).all()
     g = SD.grams(raw)
     assert (g[at] == h).all()
+    for step in (1, 7, 300):  # a long text's anchors are the same in parts
+        assert all((x == y).all() for x, y in zip((h, at, first, last), SD.anchors(raw, step=step), strict=True))
+    before, one, behind, two = SD.sides(raw, at, first, last)
+    assert set(before) | set(behind) == set(range(len(at)))
+    places = np.arange(len(raw) - 400)
+    for part in (64, 1000):
+        assert (SD._digests_at(raw, places, 400, 3, part) == SD._digests_at(raw, places, 400, 3)).all()
+
+
+def test_shared_passages_with_unequal_fronts():
+    r = np.random.default_rng(5)
+    for trial in range(200):
+        x = prose(trial, 140).encode()[: int(r.integers(400, 800))]
+        segments = [bytes([int(c)]) + x + bytes(r.integers(97, 100, int(r.integers(0, 6))).astype(np.uint8)) for c in r.integers(32, 123, int(r.integers(2, 5)))]
+        counts = [len(s) - 399 for s in segments]
+        from collections import Counter
+
+        seen = Counter(s[j : j + 400] for s, n in zip(segments, counts, strict=True) for j in range(n))
+        want = [[seen[s[j : j + 400]] > 1 for j in range(n)] for s, n in zip(segments, counts, strict=True)]
+        assert [h.tolist() for h in SD.repeated_windows(segments, counts)] == want
 
 
 # 8 ------------------------------------------------------------------------------------------------------------------
