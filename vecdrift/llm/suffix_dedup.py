@@ -72,20 +72,58 @@ def grams(raw: np.ndarray) -> np.ndarray:
     return _mixed(h)
 
 
-def anchors(raw: np.ndarray, size: int = SHORTEST, step: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, place, and first and last window of each anchor of a text; each window of ``size`` bytes has exactly one."""
-    parts = [[x + at if k else x for k, x in enumerate(_anchors(raw[at : at + step + size - 1], size))] for at in range(0, max(1, len(raw) - size + 1), step)]
-    h, at, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
+def anchors(raws: list[bytes], size: int = SHORTEST, step: int = 1 << 22) -> tuple[np.ndarray, ...]:
+    """Text, hash, place, first and last window of each anchor, and hashes of the 112 bytes before it and behind it.
+
+    Each window of ``size`` bytes of a text has exactly one anchor. A side's hash takes in the gram; it is 0 where no
+    window of the anchor holds that side.
+    """
+    names = 7
+    parts: list[tuple[np.ndarray, ...]] = [tuple(np.zeros(0, np.uint64 if k in (1, 5, 6) else np.int64) for k in range(names))]
+    few: list[int] = []
+    held = 0
+
+    def together():
+        buf = np.frombuffer(b"".join(raws[i] for i in few), np.uint8)
+        ends = np.cumsum([len(raws[i]) for i in few])
+        h, at, first, last, before, behind = _anchors(buf, ends, size)
+        owner = np.searchsorted(ends, at, side="right")
+        begin = (ends - [len(raws[i]) for i in few])[owner]
+        parts.append((np.array(few)[owner], h, at - begin, first - begin, last - begin, before, behind))
+        few.clear()
+
+    for i, raw in enumerate(raws):
+        if few and held + len(raw) > 1 << 16:
+            together()
+            held = 0
+        if len(raw) > step + size:
+            parts.append(_in_parts(raw, i, size, step))
+        elif len(raw) >= size:
+            few.append(i)
+            held += len(raw)
+    if few:
+        together()
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _in_parts(raw: bytes, i: int, size: int, step: int) -> tuple[np.ndarray, ...]:
+    """The anchors of a long text, ``step`` windows at a time."""
+    buf = np.frombuffer(raw, np.uint8)
+    found = []
+    for at in range(0, len(buf) - size + 1, step):
+        own = buf[at : at + step + size - 1]
+        found.append([x + at if k in (1, 2, 3) else x for k, x in enumerate(_anchors(own, np.array([len(own)]), size))])
+    h, at, first, last, before, behind = (np.concatenate(x) for x in zip(*found, strict=True))
     new = np.ones(len(at) + 1, bool)
     new[1:-1] = at[1:] != at[:-1]  # else one anchor on both sides of a cut
-    return h[new[:-1]], at[new[:-1]], first[new[:-1]], last[new[1:]]
+    begins = np.flatnonzero(new[:-1])
+    before, behind = (np.bitwise_or.reduceat(x, begins) for x in (before, behind))
+    return np.full(len(begins), i), h[begins], at[begins], first[begins], last[new[1:]], before, behind
 
 
-def _anchors(raw: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    none = np.zeros(0, np.int64)
-    if len(raw) < size:
-        return none.astype(np.uint64), none, none, none
-    h = grams(raw)
+def _anchors(buf: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Of texts side by side, each of ``size`` bytes or more."""
+    h = grams(buf)
     width = size - GRAM + 1
     n = len(h) - width + 1
     places = np.arange(len(h), dtype=np.uint64)
@@ -99,17 +137,24 @@ def _anchors(raw: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.nda
     rest = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
     begun = np.minimum.accumulate(blocks, axis=1).reshape(-1)
     chosen = (np.minimum(rest[:n], begun[width - 1 : width - 1 + n]) & mask).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1])))
-    last = np.concatenate((first[1:], [n])) - 1
-    at = chosen[first]
-    return h[at], at, first, last
-
-
-def sides(raw: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Which anchors have windows that hold the 112 bytes before the gram, hashes of those with the gram; the same behind."""
-    before, behind = np.flatnonzero(first <= at - SIDE), np.flatnonzero(last >= at - SIDE)
-    length = SIDE + GRAM
-    return before, _digests_at(raw, at[before] - SIDE, length, 0), behind, _digests_at(raw, at[behind], length, 1)
+    inside = np.ones(n, bool)
+    for e in ends[:-1].tolist():
+        inside[e - size + 1 : e] = False
+    windows = np.flatnonzero(inside)
+    chosen = chosen[windows]
+    begins = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1])))
+    first, last = windows[begins], windows[np.concatenate((begins[1:], [len(windows)])) - 1]
+    at = chosen[begins]
+    sides = []
+    for seed, there, start in ((1, first <= at - SIDE, at - SIDE), (2, last >= at - SIDE, at)):
+        side = np.zeros(len(at), np.uint64)
+        start = start[there]
+        total = np.full(len(start), seed, np.uint64)
+        for c, shift in zip(_STEPS, (0, 32, 64, 96, SIDE), strict=True):  # grams that cover the 144 bytes
+            total = _mixed(total * c + h[start + shift])
+        side[there] = total | np.uint64(1)
+        sides.append(side)
+    return h[at], at, first, last, *sides
 
 
 def suffix_array(buf: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -406,17 +451,13 @@ def removed_runs(texts: DataFrame) -> DataFrame:
 
     def find(batches):
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in places]
             k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i, text in enumerate(batch.column(2)):
-                raw = np.frombuffer(text.as_py().encode("utf-8", "surrogatepass"), np.uint8)
-                h, at, first, last = anchors(raw)
-                before, one, behind, two = sides(raw, at, first, last)
-                which = np.concatenate((before, behind))
-                side = np.repeat([0, 1], (len(before), len(behind)))
-                for x, v in zip(out, (np.concatenate((one, two)).view(np.int64), h[which].view(np.int64), np.full(len(which), k1[i]), np.full(len(which), k2[i]), at[which], side), strict=True):
-                    x.append(v)
-            yield _batch([np.concatenate(x) if x else np.zeros(0, np.int64) for x in out], [pa.int64()] * 5 + [pa.int8()], places)
+            who, h, at, _, _, before, behind = anchors([t.as_py().encode("utf-8", "surrogatepass") for t in batch.column(2)])
+            there = [np.flatnonzero(x) for x in (before, behind)]
+            which = np.concatenate(there)
+            key = np.concatenate([x[w] for x, w in zip((before, behind), there, strict=True)])
+            side = np.repeat([0, 1], [len(w) for w in there])
+            yield _batch([key.view(np.int64), h[which].view(np.int64), k1[who[which]], k2[who[which]], at[which], side], [pa.int64()] * 5 + [pa.int8()], places)
 
     long = texts.where(F.octet_length("text") >= SHORTEST).select("k1", "k2", "text")
     found = materialize(long.mapInArrow(find, "key bigint, h bigint, k1 bigint, k2 bigint, p bigint, s tinyint"), "anchors")
@@ -432,22 +473,25 @@ def removed_runs(texts: DataFrame) -> DataFrame:
         """(key 1, key 2, bytes, hash, first, last window) of every marked anchor of the wanted kind."""
         for batch in batches:
             k1, k2 = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, text in enumerate(batch.column(2)):
-                raw = text.as_py().encode("utf-8", "surrogatepass")
-                h, at, first, last = anchors(np.frombuffer(raw, np.uint8))
+            raws = [t.as_py().encode("utf-8", "surrogatepass") for t in batch.column(2)]
+            who, h, at, first, last, *_ = anchors(raws)
+            order = np.argsort(who, kind="stable")
+            bounds = np.searchsorted(who[order], np.arange(len(raws) + 1))
+            h = h.view(np.int64)
+            for i, raw in enumerate(raws):
+                own = order[bounds[i] : bounds[i + 1]]
                 wanted: dict[int, int] = {}
                 for m in batch.column(3)[i].as_py():
                     if m["hot"] == hot_ones:
                         wanted[m["p"]] = wanted.get(m["p"], 0) | 1 << m["s"]
-                h = h.view(np.int64)
-                for p in sorted(wanted):
-                    j = int(np.searchsorted(at, p))
-                    a, b = int(first[j]), int(last[j])  # only windows that hold a side found twice
-                    if wanted[p] == 1:
+                places = sorted(wanted)
+                found = own[np.searchsorted(at[own], places)] if places else own[:0]
+                for p, x, a, b in zip(places, h[found].tolist(), first[found].tolist(), last[found].tolist(), strict=True):
+                    if wanted[p] == 1:  # only windows that hold a side found twice
                         b = min(b, p - SIDE)
                     elif wanted[p] == 2:
                         a = max(a, p - SIDE)
-                    yield k1[i], k2[i], raw, int(h[j]), a, b
+                    yield k1[i], k2[i], raw, x, a, b
 
     def cut(batches):
         names = ["h", "k1", "k2", "p", "n", "w", "segment"]
