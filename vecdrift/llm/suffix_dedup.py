@@ -5,18 +5,18 @@ repeated passages of ``PASSAGE`` = 51 words are reported: a passage begins with
 are under ``SHORTEST`` = 256 bytes, at most 400 bytes) and repeats if equal ones begin with a word at two places.
 
 1. Equal texts are merged first (one row and a count each); a text that occurs twice is covered whole.
-2. Candidates: every window of 256 bytes picks an anchor, its 32-byte gram of least hash (leftmost); equal windows pick
-   equal grams. A window holds 112 bytes before its gram or 112 from its end on, so it can repeat only if that string of
-   144 bytes, before or behind, repeats with an anchor there. Those strings' hashes are counted in one aggregation over
-   about one or two longs in 113 bytes; texts don't move.
-3. The windows of each anchor with such a repeat leave as one segment (at most 624 bytes), dealt out by the anchor's hash:
-   windows that could be equal meet in one task. There segments fill shards of ``SHARD`` bytes; a shard's suffix array
-   is built by Larsson-Sadakane refinement in numpy (8-byte start, doubling, groups of one left alone, ending at depth
-   512), its common prefixes by Kasai's lemma in permuted form (only where the predecessor isn't the neighbour's
-   predecessor or the bytes before the two differ, all such places at once, the rest by subtraction). Neighbours of
-   400 common bytes form classes; window classes of two or more places are repeats. Passages, of unequal lengths, are
-   told apart by 128-bit digests. An anchor with more segments than a shard holds fills several; their windows are
-   merged across shards by binary search in sorted digests, and what is found is compared byte by byte.
+2. Candidates: every window of 256 bytes picks an anchor, its 32-byte gram of least hash (leftmost). Equal windows pick
+   equal grams, so only windows whose anchor's gram was picked at two places anywhere can repeat. That is one counting
+   aggregation over about one long in 113 bytes; texts don't move.
+3. The windows of each repeated anchor leave as one segment (at most 624 bytes), dealt out by the anchor's hash: windows
+   that could be equal meet in one task. There segments are gathered to ``SHARD`` bytes; those in which no window's
+   64-bit digest comes twice hold no repeat and go (nine in ten). The suffix array of the rest is built by
+   Larsson-Sadakane refinement in numpy (8-byte start, doubling, groups of one left alone, ending at depth 512), its
+   common prefixes by Kasai's lemma in permuted form (only where the predecessor isn't the neighbour's predecessor or
+   the bytes before the two differ, all such places at once, the rest by subtraction). Neighbours of 400 common bytes
+   form classes; window classes of two or more places are repeats. Passages, of unequal lengths, are told apart by
+   128-bit digests. An anchor with more segments than a shard holds fills several; their windows are merged across
+   shards by binary search in sorted digests, and what is found is compared byte by byte.
 4. Anchors at more than ``HOT`` places (one passage in a third of all texts; over about 10 MB of segments) would fill a
    task. Their windows are counted by 128-bit digests in a global aggregation - a repeated passage is one row a map
    task there - and joined back.
@@ -44,8 +44,7 @@ from .common import delete_at_exit, materialize, shared_dir, text_or_empty
 
 LENGTH, GRAM = 400, 32
 PASSAGE, SHORTEST = 51, 256
-SIDE = (SHORTEST - GRAM) // 2
-SHARD = 1 << 20
+SHARD = 1 << 21
 HOT = 16_384
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 _STEPS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
@@ -73,23 +72,18 @@ def grams(raw: np.ndarray) -> np.ndarray:
 
 
 def anchors(raws: list[bytes], size: int = SHORTEST, step: int = 1 << 22) -> tuple[np.ndarray, ...]:
-    """Text, hash, place, first and last window of each anchor, and hashes of the 112 bytes before it and behind it.
-
-    Each window of ``size`` bytes of a text has exactly one anchor. A side's hash takes in the gram; it is 0 where no
-    window of the anchor holds that side.
-    """
-    names = 7
-    parts: list[tuple[np.ndarray, ...]] = [tuple(np.zeros(0, np.uint64 if k in (1, 5, 6) else np.int64) for k in range(names))]
+    """Text, hash, place, first and last window of each anchor; each window of ``size`` bytes of a text has exactly one."""
+    parts: list[tuple[np.ndarray, ...]] = [tuple(np.zeros(0, np.uint64 if k == 1 else np.int64) for k in range(5))]
     few: list[int] = []
     held = 0
 
     def together():
         buf = np.frombuffer(b"".join(raws[i] for i in few), np.uint8)
         ends = np.cumsum([len(raws[i]) for i in few])
-        h, at, first, last, before, behind = _anchors(buf, ends, size)
+        h, at, first, last = _anchors(buf, ends, size)
         owner = np.searchsorted(ends, at, side="right")
         begin = (ends - [len(raws[i]) for i in few])[owner]
-        parts.append((np.array(few)[owner], h, at - begin, first - begin, last - begin, before, behind))
+        parts.append((np.array(few)[owner], h, at - begin, first - begin, last - begin))
         few.clear()
 
     for i, raw in enumerate(raws):
@@ -112,13 +106,12 @@ def _in_parts(raw: bytes, i: int, size: int, step: int) -> tuple[np.ndarray, ...
     found = []
     for at in range(0, len(buf) - size + 1, step):
         own = buf[at : at + step + size - 1]
-        found.append([x + at if k in (1, 2, 3) else x for k, x in enumerate(_anchors(own, np.array([len(own)]), size))])
-    h, at, first, last, before, behind = (np.concatenate(x) for x in zip(*found, strict=True))
+        found.append([x + at if k else x for k, x in enumerate(_anchors(own, np.array([len(own)]), size))])
+    h, at, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
     new = np.ones(len(at) + 1, bool)
     new[1:-1] = at[1:] != at[:-1]  # else one anchor on both sides of a cut
     begins = np.flatnonzero(new[:-1])
-    before, behind = (np.bitwise_or.reduceat(x, begins) for x in (before, behind))
-    return np.full(len(begins), i), h[begins], at[begins], first[begins], last[new[1:]], before, behind
+    return np.full(len(begins), i), h[begins], at[begins], first[begins], last[new[1:]]
 
 
 def _anchors(buf: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
@@ -145,16 +138,7 @@ def _anchors(buf: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray,
     begins = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1])))
     first, last = windows[begins], windows[np.concatenate((begins[1:], [len(windows)])) - 1]
     at = chosen[begins]
-    sides = []
-    for seed, there, start in ((1, first <= at - SIDE, at - SIDE), (2, last >= at - SIDE, at)):
-        side = np.zeros(len(at), np.uint64)
-        start = start[there]
-        total = np.full(len(start), seed, np.uint64)
-        for c, shift in zip(_STEPS, (0, 32, 64, 96, SIDE), strict=True):  # grams that cover the 144 bytes
-            total = _mixed(total * c + h[start + shift])
-        side[there] = total | np.uint64(1)
-        sides.append(side)
-    return h[at], at, first, last, *sides
+    return h[at], at, first, last
 
 
 def suffix_array(buf: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -239,6 +223,21 @@ def repeated_windows(segments: list[bytes], counts: list[int]) -> list[np.ndarra
     return [hit[b : b + c].copy() for b, c in zip(begins.tolist(), counts, strict=True)]
 
 
+def may_repeat(segments: list[bytes], counts: list[int]) -> list[int]:
+    """Which segments hold a window whose digest comes twice among all windows; no other can hold a repeat."""
+    sizes = np.array([len(s) for s in segments], np.int64)
+    full = np.minimum(np.array(counts, np.int64), np.maximum(sizes - LENGTH + 1, 0))
+    owner = np.repeat(np.arange(len(segments)), full)
+    places = np.arange(len(owner)) - np.repeat(np.cumsum(full) - full, full) + np.repeat(np.cumsum(sizes) - sizes, full)
+    d = _digests_at(np.frombuffer(b"".join(segments), np.uint8), places, LENGTH, 0)
+    ordered = np.sort(d)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(twice):
+        return []
+    at = np.minimum(np.searchsorted(twice, d), len(twice) - 1)
+    return np.unique(owner[twice[at] == d]).tolist()
+
+
 def _digests_at(buf: np.ndarray, places: np.ndarray, lengths: np.ndarray | int, seed: int, part: int = 1 << 20) -> np.ndarray:
     """Hash of ``lengths`` bytes from each of ascending places on; the seed names one of independent functions."""
     out = np.empty(len(places), np.uint64)
@@ -357,28 +356,32 @@ def _shards(batches):
     def close():
         rows: tuple[list, list, list, list] = ([], [], [], [])
         keys = list(held)
+        some = may_repeat([text for *_, text in keys], [n for n, *_ in keys])
         shards: list[tuple[list[bytes], list[int]]] = [([], [])]
         filled = 0
-        for n, _, text in keys:
+        for j in some:
+            n, _, text = keys[j]
             if filled > SHARD and size > 2 * SHARD:
                 shards.append(([], []))
                 filled = 0
             shards[-1][0].append(text)
             shards[-1][1].append(n)
             filled += len(text) + 1
-        parts = [repeated_windows(*x) for x in shards]
+        parts = [repeated_windows(*x) for x in shards if x[0]]
         if len(shards) > 1:
             merge_shards(shards, parts)
+        hits = dict(zip(some, (h for part in parts for h in part), strict=True))
         texts = [text for *_, text in keys]
         owner, place, length = passages(texts, [n for n, *_ in keys], [w for _, w, _ in keys])
         several = np.array([len(held[k]) > 1 for k in keys], bool)
         often = _often(_passage_keys(texts, owner, place, length)) | several[owner]
         owner, place, length = owner[often], place[often], length[often]
         bounds = np.searchsorted(owner, np.arange(len(keys) + 1))
-        for j, (k, hit) in enumerate(zip(keys, (h for part in parts for h in part), strict=True)):
+        for j, k in enumerate(keys):
             if several[j]:  # equal segments: each repeats the others
-                hit = np.arange(len(hit)) <= len(k[2]) - LENGTH
-            at = np.flatnonzero(hit)
+                at = np.arange(min(k[0], len(k[2]) - LENGTH + 1))
+            else:
+                at = np.flatnonzero(hits[j]) if j in hits else np.zeros(0, np.int64)
             a, b = bounds[j], bounds[j + 1]
             if not len(at) and a == b:
                 continue
@@ -435,10 +438,10 @@ def _drop_texts(texts: DataFrame) -> None:
 
 
 def _repeated(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Keys at two or more different (k1, k2, p) places."""
+    """Keys at two or more different (k1, k2, p) places, with how many rows name them."""
     place = F.xxhash64("k1", "k2", "p")
-    found = rows.groupBy(*keys).agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b")
-    return materialize(found.select(*[F.col(k).alias(f"r_{k}") for k in keys]), name)
+    found = rows.groupBy(*keys).agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count(F.lit(1)).alias("times")).where("a <> b")
+    return materialize(found.select(*[F.col(k).alias(f"r_{k}") for k in keys], "times"), name)
 
 
 def _batch(rows: list, types: list, names: list[str]) -> pa.RecordBatch:
@@ -447,26 +450,18 @@ def _batch(rows: list, types: list, names: list[str]) -> pa.RecordBatch:
 
 def removed_runs(texts: DataFrame) -> DataFrame:
     """``k1, k2, runs, passes`` (arrays of flat start, end pairs; several rows a text) of distinct texts ``k1, k2, text``."""
-    places = ["key", "h", "k1", "k2", "p", "s"]
 
     def find(batches):
         for batch in batches:
             k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            who, h, at, _, _, before, behind = anchors([t.as_py().encode("utf-8", "surrogatepass") for t in batch.column(2)])
-            there = [np.flatnonzero(x) for x in (before, behind)]
-            which = np.concatenate(there)
-            key = np.concatenate([x[w] for x, w in zip((before, behind), there, strict=True)])
-            side = np.repeat([0, 1], [len(w) for w in there])
-            yield _batch([key.view(np.int64), h[which].view(np.int64), k1[who[which]], k2[who[which]], at[which], side], [pa.int64()] * 5 + [pa.int8()], places)
+            who, h, at, *_ = anchors([t.as_py().encode("utf-8", "surrogatepass") for t in batch.column(2)])
+            yield _batch([h.view(np.int64), k1[who], k2[who], at], [pa.int64()] * 4, ["h", "k1", "k2", "p"])
 
     long = texts.where(F.octet_length("text") >= SHORTEST).select("k1", "k2", "text")
-    found = materialize(long.mapInArrow(find, "key bigint, h bigint, k1 bigint, k2 bigint, p bigint, s tinyint"), "anchors")
-    again = _repeated(found, ["key"], "repeated-anchors")
-    named = materialize(found.join(again, F.col("key") == F.col("r_key")).select("h", "k1", "k2", "p", "s"), "marked-anchors")
-    hot = materialize(named.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select(F.col("h").alias("hot_h")), "hot-anchors")
-    some_hot = not hot.isEmpty()
-    named = named.join(hot, F.col("h") == F.col("hot_h"), "left").withColumn("hot", F.col("hot_h").isNotNull()) if some_hot else named.withColumn("hot", F.lit(False))
-    marks = named.groupBy("k1", "k2").agg(F.collect_list(F.struct("p", "s", "hot")).alias("marks"))
+    found = materialize(long.mapInArrow(find, "h bigint, k1 bigint, k2 bigint, p bigint"), "anchors")
+    again = _repeated(found, ["h"], "repeated-anchors")
+    some_hot = not again.where(F.col("times") > HOT).isEmpty()
+    marks = found.join(again, F.col("h") == F.col("r_h")).groupBy("k1", "k2").agg(F.collect_list(F.struct("p", (F.col("times") > HOT).alias("hot"))).alias("marks"))
     marked = long.join(marks.withColumnsRenamed({"k1": "m1", "k2": "m2"}), (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2"))).select("k1", "k2", "text", "marks")
 
     def chosen(batches, hot_ones):
@@ -480,17 +475,9 @@ def removed_runs(texts: DataFrame) -> DataFrame:
             h = h.view(np.int64)
             for i, raw in enumerate(raws):
                 own = order[bounds[i] : bounds[i + 1]]
-                wanted: dict[int, int] = {}
-                for m in batch.column(3)[i].as_py():
-                    if m["hot"] == hot_ones:
-                        wanted[m["p"]] = wanted.get(m["p"], 0) | 1 << m["s"]
-                places = sorted(wanted)
-                found = own[np.searchsorted(at[own], places)] if places else own[:0]
-                for p, x, a, b in zip(places, h[found].tolist(), first[found].tolist(), last[found].tolist(), strict=True):
-                    if wanted[p] == 1:  # only windows that hold a side found twice
-                        b = min(b, p - SIDE)
-                    elif wanted[p] == 2:
-                        a = max(a, p - SIDE)
+                wanted = sorted(m["p"] for m in batch.column(3)[i].as_py() if m["hot"] == hot_ones)
+                found = own[np.searchsorted(at[own], wanted)] if wanted else own[:0]
+                for x, a, b in zip(h[found].tolist(), first[found].tolist(), last[found].tolist(), strict=True):
                     yield k1[i], k2[i], raw, x, a, b
 
     def cut(batches):
