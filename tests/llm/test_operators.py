@@ -162,6 +162,34 @@ def test_quality_model(spark):
     assert null_id["held_out"] is True
 
 
+def toxicity_brute(model, text):
+    """The network's equations for one window at a time."""
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    h = TX.HIDDEN
+    words, best = TX.words_of(text), 0.0
+    x = []
+    for w in words:
+        row, grams, _ = TX.hashed([w])
+        x.append(np.concatenate((p["E"][row[0]], p["C"][grams].sum(axis=0) / np.sqrt(len(grams)))))
+    for start in TX.windows(len(words)).tolist():
+        own = x[start : start + TX.WINDOW]
+        states = {}
+        for k, run in (("f", own), ("b", own[::-1])):
+            s, seen = np.zeros(h), []
+            for v in run:
+                a, u = v @ p[f"W{k}"] + p[f"c{k}"], s @ p[f"U{k}"]
+                z, r = sigmoid(a[:h] + u[:h]), sigmoid(a[h : 2 * h] + u[h : 2 * h])
+                s = (1 - z) * np.tanh(a[2 * h :] + r * u[2 * h :]) + z * s
+                seen.append(s)
+            states[k] = seen
+        both = [np.concatenate(y) for y in zip(states["f"], states["b"][::-1], strict=True)]
+        e = np.array([np.tanh(y @ p["A"] + p["a"]) @ p["u"] for y in both])
+        alpha = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+        best = max(best, sigmoid(sum(a * y for a, y in zip(alpha, both, strict=True)) @ p["w"] + p["b"][0]))
+    return best
+
+
 def test_toxicity(spark, monkeypatch):
     monkeypatch.setattr(TX, "STEPS", 120)
     texts, labels = labelled(spark)
@@ -172,6 +200,10 @@ def test_toxicity(spark, monkeypatch):
     assert right >= 0.97 * len(texts)
     assert [out[len(texts) + k] for k in (0, 1, 2)] == [0, 0, 0]
     assert out[len(texts) + 7] == out[len(texts) + 8]
+    for i in (0, 1, 6, 100):  # a window at a time, word by word
+        assert out[i] == pytest.approx(toxicity_brute(model, texts[i]), abs=2e-9)
+    mixed = TX.score(table(spark, [t for t in texts[:40] for _ in range(3)]).repartition(5), model).collect()
+    assert {(r["doc_id"] // 3, r["score"]) for r in mixed} == {(i, out[i]) for i in range(40)}
     long = prose(3, 5000) + " idiot scum idiot " + prose(4, 5000)
     scorer = TX.Scorer(model)
     assert scorer.scores([long])[0] >= 0.7 > scorer.scores([prose(3, 5000)])[0]

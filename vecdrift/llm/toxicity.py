@@ -5,12 +5,14 @@ inflected or unseen forms are read by their letters. Texts are cut into windows
 words; a GRU runs over each window in both directions, attention weighs the places, and the pooled state gives the
 window's logit. A document scores as its most toxic window: all windows of the whole text count.
 
-Training (on the driver, seeded): at most ``TOXIC_SAMPLE`` and ``CLEAN_SAMPLE`` labelled documents, chosen by hash order of
-the id, and at most ``TRAIN_WINDOWS`` windows of each drawn anew when it is used. A document's loss is that of its windows weighted
+Training (in one task, seeded): at most ``TOXIC_SAMPLE`` and ``CLEAN_SAMPLE`` labelled documents, chosen by hash order of
+the id among those of at most ``SAMPLE_CHARACTERS`` characters, and at most ``TRAIN_WINDOWS`` windows of each (toxic,
+clean) drawn anew when it is used. A document's loss is that of its windows weighted
 by how toxic they look (softmax), so one bad passage makes a toxic document. Adam; gradients by hand.
 
-Scoring is one narrow pass; the model (some 100 kB) is broadcast, distinct words are projected once per cache life,
-and work space is bounded by ``chunks``.
+Scoring is one narrow pass in double precision, rounded to nine digits, so that equal texts score alike whatever they
+are batched with; the model (some MB) is broadcast, distinct words are projected once per cache life, and work space
+is bounded by ``chunks``.
 
 Defined results: null, empty and blank texts have no windows and score 0; with labels of one class only (or none) all
 scores are 0; a null doc_id isn't held out (crc32 of the empty text is 0). Repeated rows score alike. An empty table
@@ -19,6 +21,8 @@ gives no rows. Extra columns, labels, lang, source and ids never enter a score.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +34,8 @@ WINDOW, STEP = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 16
 WORD_ROWS, CHAR_ROWS = 1 << 13, 1 << 14
 TOXIC_SAMPLE, CLEAN_SAMPLE = 2500, 5000
-TRAIN_WINDOWS = 24
+SAMPLE_CHARACTERS = 1 << 15
+TRAIN_WINDOWS = (24, 12)
 STEPS, BATCH_TOXIC, BATCH_CLEAN = 500, 16, 64
 #: Share of words hidden from the network at each training step, so that no document is known by its rare words.
 HIDDEN_WORDS = 0.3
@@ -90,13 +95,9 @@ def _sigmoid(x):
 
 def _summed(places, rows, n):
     """Rows added up by place, places 0 to n - 1."""
-    out = np.zeros((n, rows.shape[1]), np.float32)
-    if len(places):
-        order = np.argsort(places, kind="stable")
-        at = places[order]
-        edges = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        out[at[edges]] = np.add.reduceat(rows[order], edges, axis=0)
-    return out
+    k = rows.shape[1]
+    index = (places.astype(np.int64)[:, None] * k + np.arange(k)).reshape(-1)
+    return np.bincount(index, weights=rows.reshape(-1), minlength=n * k).reshape(n, k).astype(np.float32)
 
 
 class Network:
@@ -112,8 +113,9 @@ class Network:
         self.ready = False
 
     def inputs(self, rows, grams, begins):
-        counts = np.diff(begins).astype(np.float32)
-        chars = np.add.reduceat(self.p["C"][grams], begins[:-1], axis=0) / np.sqrt(counts)[:, None] if len(rows) else np.zeros((0, CHAR_DIM), np.float32)
+        kind = self.p["C"].dtype
+        counts = np.diff(begins).astype(kind)
+        chars = np.add.reduceat(self.p["C"][grams], begins[:-1], axis=0) / np.sqrt(counts)[:, None] if len(rows) else np.zeros((0, CHAR_DIM), kind)
         return np.concatenate((self.p["E"][rows], chars), axis=1)
 
     def project(self, x):
@@ -124,8 +126,8 @@ class Network:
         """xs [T, B, 3h] in the order of reading."""
         h = HIDDEN
         U = self.p[f"U{k}"]
-        s = np.zeros((xs.shape[1], h), np.float32)
-        out, saved = np.empty((xs.shape[0], xs.shape[1], h), np.float32), []
+        s = np.zeros((xs.shape[1], h), U.dtype)
+        out, saved = np.empty((xs.shape[0], xs.shape[1], h), U.dtype), []
         for t in range(xs.shape[0]):
             v = s @ U
             zr = _sigmoid(xs[t, :, : 2 * h] + v[:, : 2 * h])
@@ -201,8 +203,9 @@ class Network:
             starts, owner = [], []
             for j, k in enumerate(who.tolist()):
                 w = windows(len(at[k]))
-                if len(w) > TRAIN_WINDOWS:
-                    w = rng.choice(w, TRAIN_WINDOWS, replace=False)
+                most = TRAIN_WINDOWS[j >= BATCH_TOXIC]
+                if len(w) > most:
+                    w = rng.choice(w, most, replace=False)
                 starts.append(w)
                 owner.append(np.full(len(w), j))
             owner, starts = np.concatenate(owner), np.concatenate(starts)
@@ -248,15 +251,16 @@ class Network:
 
 
 class Scorer:
-    """A network with a cache of projected words."""
+    """A network in double precision with a cache of projected words."""
 
     def __init__(self, network: Network):
-        self.network = network
+        self.network = Network.__new__(Network)
+        self.network.p, self.network.ready = {k: v.astype(np.float64) for k, v in network.p.items()}, network.ready
         self._reset()
 
     def _reset(self):
         self.place: dict[bytes, int] = {}
-        self.table = np.zeros((1 << 14, 6 * HIDDEN), np.float32)
+        self.table = np.zeros((1 << 14, 6 * HIDDEN))
 
     def _places(self, words: list[bytes]) -> np.ndarray:
         new = [w for w in dict.fromkeys(words) if w not in self.place]
@@ -288,7 +292,7 @@ class Scorer:
                 logits = np.concatenate([self._logits(at, begin[i : i + 4096], size[i : i + 4096]) for i in range(0, len(begin), 4096)])
                 have = np.flatnonzero(n_windows)
                 edges = (np.cumsum(n_windows) - n_windows)[have]
-                out[done + have] = _sigmoid(np.maximum.reduceat(logits, edges).astype(np.float64))
+                out[done + have] = np.round(_sigmoid(np.maximum.reduceat(logits, edges)), 9)
             done += len(few)
         return out
 
@@ -296,17 +300,31 @@ class Scorer:
         step = np.arange(WINDOW)[:, None]
         inside = step < size
         index = at[np.where(inside, begin + step, begin)]
-        return self.network.forward(self.table[index], inside[:, :, None].astype(np.float32))[0]
+        return self.network.forward(self.table[index], inside[:, :, None].astype(np.float64))[0]
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: tuple[int, int] = (TOXIC_SAMPLE, CLEAN_SAMPLE)) -> Network:
-    """Fits on at most ``most`` (toxic, clean) labelled documents outside the held-out fold."""
+    """Fits on at most ``most`` (toxic, clean) labelled documents outside the held-out fold; long texts don't train."""
     rows = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (id_crc32("id") % FOLDS != HELD_OUT))
     order = [F.xxhash64("id"), F.col("id")]
     chosen = rows.where("y = 1").orderBy(*order).limit(most[0]).union(rows.where("y = 0").orderBy(*order).limit(most[1]))
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "y", "text")
-    found = joined.orderBy(F.xxhash64("doc_id"), "doc_id", "y", F.xxhash64("text")).limit(sum(most)).toPandas()
-    return Network().fit(found["text"].tolist(), found["y"].to_numpy(np.int64))
+    short = docs.where(F.char_length(F.coalesce(F.col("text"), F.lit(""))) <= SAMPLE_CHARACTERS)
+    joined = short.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "y", "text")
+    found = joined.orderBy(F.xxhash64("doc_id"), "doc_id", "y", F.xxhash64("text")).limit(sum(most))
+
+    def fit(batches):
+        rows = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        net = Network()
+        if rows is not None:
+            net.fit(rows.column("text").to_pylist(), rows.column("y").to_numpy().astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((net.p, net.ready))], pa.binary())], names=["model"])
+
+    # one task fits on the bounded sample; only the model comes to the driver
+    net = Network()
+    made = found.select("y", "text").mapInArrow(fit, "model binary").collect()
+    if made:
+        net.p, net.ready = pickle.loads(made[0]["model"])
+    return net
 
 
 def score(docs: DataFrame, network: Network, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
