@@ -55,13 +55,11 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     j = keyed.join(covered, F.col("__vd_id").eqNullSafe(F.col("__c_id")) & (F.col("__vd_h") == F.col("__c_h")) & (F.col("__vd_g") == F.col("__c_g")), "left")
     j = j.withColumn("__vd_lines", F.split(text_or_empty(text_column), "\n", -1))
     worded = F.size(F.filter("__vd_lines", lambda x: x.rlike(WORD)))
-    # walk over all lines, counting the worded ones: covered is ascending, so one pointer into it is enough
-    kept = F.expr(
-        f"aggregate(__vd_lines, named_struct('n', 0, 'c', 0, 'out', CAST(array() AS ARRAY<STRING>)), (a, x) -> named_struct("
-        f"'n', a.n + CAST(x RLIKE r'{WORD}' AS INT), "
-        f"'c', a.c + CAST(x RLIKE r'{WORD}' AND a.c < size(covered) AND covered[a.c] = a.n AS INT), "
-        f"'out', CASE WHEN x RLIKE r'{WORD}' AND a.c < size(covered) AND covered[a.c] = a.n THEN a.out ELSE concat(a.out, array(x)) END), a -> array_join(a.out, '\n'))"
-    )
+    # line numbers less those of the covered worded lines: every step is linear in the lines
+    numbers = "sequence(0, size(__vd_lines) - 1)"
+    j = j.withColumn("__vd_worded", F.when(F.col("covered").isNotNull(), F.expr(f"filter({numbers}, i -> __vd_lines[i] RLIKE r'{WORD}')")))
+    j = j.withColumn("__vd_stay", F.expr(f"array_except({numbers}, transform(covered, c -> __vd_worded[c]))"))
+    kept = F.expr("array_join(transform(__vd_stay, i -> __vd_lines[i]), '\n')")
     runs = F.expr("size(filter(covered, (p, i) -> i = 0 OR covered[i - 1] <> p - 1))")
     return j.select(
         *[F.when(F.col("covered").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_column else F.col(c) for c in docs.columns],
