@@ -53,12 +53,12 @@ ADDED = (
     Rule("bearer", r"[Bb]earer [A-Za-z0-9_.=/+-]{20,}"),
 )
 RULES = BASE + ADDED
-#: Upper repeat limits that ``ORACLE_SQL`` still states: on longer tokens the rules find more than that text.
-_SQL_LIMITS = {"github": 255, "slack": 250, "stripe": 250, "jwt": 1000, "bearer": 1000}
 
 #: A query is a list of alternatives, each a set of lower-case trigrams; ``None`` means that nothing is mandatory.
 Query = list[frozenset[str]] | None
 _MOST_STRINGS = 64
+#: Pieces a block (an even number): a text of n matches takes n * (this + n / this) steps.
+_PIECES = 256
 
 
 def _strings(node) -> set[str] | None:
@@ -177,14 +177,24 @@ def _spans(rule: Rule, kept: Column) -> Column:
     pieces = F.split(F.when(kept & F.col("__t").rlike(pattern), marked), "[\x01\x02]", -1)
     rank = [r.kind for r in RULES].index(rule.kind)
     enough = "true" if not least else f"char_length(regexp_extract(p, r'{pattern.replace(chr(39), chr(92) + 'x27')}', {group})) >= {least}"
-    # pieces alternate: outside, match, outside, ...
-    fold = F.expr(
-        "aggregate(__pieces, named_struct('at', 0L, 'i', 0, 'out', CAST(array() AS ARRAY<STRUCT<s: BIGINT, k: INT, e: BIGINT>>)), "
+    # pieces alternate: outside, match, outside, ... Offsets add up block by block, so that appending stays cheap.
+    # A transform of a one-element array names an intermediate value: a plan that copies the column copies no work.
+    spans = "CAST(array() AS ARRAY<STRUCT<s: BIGINT, k: INT, e: BIGINT>>)"
+    named = lambda name, value, body: f"transform(array({value}), {name} -> {body})[0]"
+    blocks = f"transform(sequence(0, (size(ps) - 1) DIV {_PIECES}), b -> slice(ps, b * {_PIECES} + 1, {_PIECES}))"
+    sums = "aggregate(x, 0L, (c, p) -> c + CAST(char_length(p) AS BIGINT))"
+    begins = (
+        "aggregate(bs, named_struct('at', 0L, 'out', CAST(array() AS ARRAY<BIGINT>)), "
+        f"(a, x) -> named_struct('at', a.at + {sums}, 'out', concat(a.out, array(a.at))), a -> a.out)"
+    )
+    fold = (
+        f"flatten(transform(bs, (x, b) -> aggregate(x, named_struct('at', os[b], 'i', 0, 'out', {spans}), "
         "(a, p) -> named_struct('at', a.at + CAST(char_length(p) AS BIGINT), 'i', a.i + 1, 'out', "
         f"CASE WHEN a.i % 2 = 1 AND {enough} THEN concat(a.out, array(named_struct('s', a.at, 'k', {rank}, 'e', a.at + CAST(char_length(p) AS BIGINT)))) ELSE a.out END), "
-        "a -> a.out)"
+        "a -> a.out)))"
     )
-    return pieces, fold
+    inner = named("bs", blocks, named("os", begins, fold))
+    return pieces, named("ps", "__pieces", f"CASE WHEN ps IS NULL THEN {spans} ELSE {inner} END")
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -193,9 +203,9 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     df = df.withColumn("__bits", postings(F.lower("__t")))
     found = []
     for rule in rules:
-        pieces, fold = _spans(rule, candidate(QUERIES[rule.kind], F.col("__bits")))
+        pieces, spans = _spans(rule, candidate(QUERIES[rule.kind], F.col("__bits")))
         name = f"__s_{rule.kind}"
-        df = df.withColumn("__pieces", pieces).withColumn(name, F.coalesce(fold, F.expr("CAST(array() AS ARRAY<STRUCT<s: BIGINT, k: INT, e: BIGINT>>)"))).drop("__pieces")
+        df = df.withColumn("__pieces", pieces).withColumn(name, F.expr(spans)).drop("__pieces")
         found.append(name)
     return df.select("doc_id", F.array_sort(F.flatten(F.array(*found))).alias("spans"))
 
@@ -242,7 +252,7 @@ def _oracle() -> str:
     parts = []
     for k, rule in enumerate(RULES):
         group, least = rule.least
-        pattern = rule.pattern.replace(",}", ",%d}" % _SQL_LIMITS[rule.kind]) if rule.kind in _SQL_LIMITS else rule.pattern
+        pattern = rule.pattern
         enough = f"length(regexp_extract(x, {quote(pattern)}, {group})) >= {least}" if least else "true"
         parts.append(
             f"SELECT r, {k} AS k, s, s + length(x) AS e FROM (SELECT r, p[i] AS x, i, coalesce(list_sum(list_transform(p[1:i - 1], lambda y: length(y))), 0) AS s FROM "
