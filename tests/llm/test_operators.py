@@ -79,6 +79,17 @@ def test_long_tokens(spark):
     assert {r["text"] for r in SE.redact(docs).collect()} == {"see [SECRET] end"}
 
 
+def test_many_matches(spark):
+    import time
+
+    text = " ".join(f"é token=abcdefg{i:06d}" for i in range(50_000))
+    began = time.time()
+    row = SE.digest(table(spark, [text])).first()
+    assert time.time() - began < 60
+    kinds = [r.kind for r in SE.RULES]
+    assert row["n_assign"] == 50_000 and row["spans"] == ",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in SE.brute_force(text))
+
+
 def test_trigram_queries_are_necessary():
     for rule in SE.RULES:
         q = SE.QUERIES[rule.kind]
@@ -130,6 +141,17 @@ def test_line_dedup(spark):
 
 
 # 3, 10 --------------------------------------------------------------------------------------------------------------
+def test_many_lines(spark):
+    import time
+
+    block = "line a\nline b\nline c"
+    texts = [block, "\n".join(f"own {i}" for i in range(100_000)) + "\n" + block + "\nlast"]
+    began = time.time()
+    got = by_id(LD.digest(table(spark, texts)), "n_lines", "n_removed", "kept_sha256")
+    assert time.time() - began < 60
+    assert got == sorted(lines_brute(list(enumerate(texts))), key=str) and got[1][2] == 3
+
+
 def labelled(spark, n=240):
     texts, rows = [], []
     for i in range(n):
@@ -538,13 +560,16 @@ def test_shared_passages_with_unequal_fronts():
 
 
 # 8 ------------------------------------------------------------------------------------------------------------------
-TOKEN_TEXTS = ["a  b", "a   b\n\n c", "don't stop's ", " lead", "x  y", "tab\t word", " em  x", "<|endoftext|> z", "q" * 5000, "hi there hi there hi there " * 50, "a\x1c b", "...,, .", "\U0001f600 \U0001f600"]
+TOKEN_TEXTS = ["a  b", "a   b\n\n c", "don't stop's ", " lead", "x  y", "tab\t word", " em  x", "<|endoftext|> z", "q" * 5000, "hi there hi there hi there " * 50, "a\x1c b", "...,, .", "\U0001f600 \U0001f600", "a <|endoftext|> b"]
 
 
 def test_token_output(spark, monkeypatch):
     texts = TOKEN_TEXTS + ODD
-    enc = TO.Encoder(TO.default_tokenizer())
-    plain = [[*enc.tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    from tokenizers import Tokenizer
+
+    enc, untouched = TO.Encoder(TO.default_tokenizer()), Tokenizer.from_file(TO.default_tokenizer())
+    plain = [[*untouched.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    assert enc.cuts_hold and 50256 in plain[TOKEN_TEXTS.index("a <|endoftext|> b")]
     ids, counts = enc.encode([t or "" for t in texts])
     assert counts.tolist() == [len(p) for p in plain] and ids.tolist() == [i for p in plain for i in p]
     start, want = 0, []
@@ -560,6 +585,27 @@ def test_token_output(spark, monkeypatch):
     assert [x[:2] for x in odd_ids] == [(False, 0), (True, 5), (True, 5)] and [x[2] for x in odd_ids] == [0, 2, 4]
 
 
+def test_clashing_hashes_and_other_tokenizers(monkeypatch, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    texts = [t for t in TOKEN_TEXTS if "<|" not in t] + [prose(3, 300)]
+    untouched = Tokenizer.from_file(TO.default_tokenizer())
+    want = [[*untouched.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    enc = TO.Encoder(TO.default_tokenizer())
+    enc.encode(texts)
+    enc.letters[:200] ^= 1  # the cache holds other pieces than these
+    ids, counts = enc.encode(texts)
+    assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+    stated = json.loads(untouched.to_str())
+    stated["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "other.json").write_text(json.dumps(stated))
+    other = TO.Encoder(str(tmp_path / "other.json"))
+    ids, _ = other.encode(["Some TEXT, Here"])
+    assert not other.cuts_hold and ids.tolist() == [*Tokenizer.from_file(str(tmp_path / "other.json")).encode("Some TEXT, Here", add_special_tokens=False).ids, 0]
+
+
 def test_more_pieces_than_slots(monkeypatch):
     import signal
 

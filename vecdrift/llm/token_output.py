@@ -15,13 +15,14 @@ committer makes a retried task harmless. ``payload`` (little-endian) is
     rules u32[n_rules, 2], expansion lengths u32[n_rules], sequence u32[n_symbols]
 
 Defined results: null or empty texts are the end id alone; a null doc_id sorts first; repeated rows follow each other,
-ordered by content hash; an empty table gives no blocks. Strings like <|endoftext|> in a text are ordinary text. Extra
-columns are not read.
+ordered by content hash; an empty table gives no blocks. A string in a text that spells an added token such as
+<|endoftext|> becomes that token, as the library has it. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import struct
 import zlib
@@ -132,7 +133,11 @@ class Encoder:
     a space that something solid follows, between an ASCII letter and a comma or full stop, and between a line feed
     after printed ASCII and a letter. Texts are cut there in numpy, pieces are known by a 64-bit hash (long ones by a
     digest), and each new piece is encoded once - those that begin with a space all in one text, which the tokenizer
-    splits between them again; the tokens' byte lengths tell where.
+    splits between them again; the tokens' byte lengths tell where. The cache keeps the pieces' bytes: what is looked up
+    is put together again and compared with the text, so a clash of hashes costs time, never a wrong id.
+
+    Texts that hold one of the tokenizer's added tokens, and all texts if it isn't byte-level BPE with the usual
+    splitting and no normalizer, are encoded whole by the library.
     """
 
     def __init__(self, path: str):
@@ -140,8 +145,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cuts_hold = self._splits_as_known(json.loads(self.tokenizer.to_str()))
         # byte-level tokens are written with one character a byte
         self.bytes_of = np.zeros(self.vocabulary, np.int64)
         for token, i in self.tokenizer.get_vocab().items():
@@ -150,9 +156,20 @@ class Encoder:
         self.powers, self.inverses = (np.concatenate(([np.uint64(1)], np.full((1 << 12) - 1, b, np.uint64))).cumprod(dtype=np.uint64) for b in (_BASE, inverse))
         self._reset()
 
+    @staticmethod
+    def _splits_as_known(stated: dict) -> bool:
+        before = stated.get("pre_tokenizer") or {}
+        usual = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        return bool(usual and stated.get("normalizer") is None and stated["model"].get("type") == "BPE" and not stated["model"].get("ignore_merges"))
+
+    def plain(self, texts: list[str]) -> list[list[int]]:
+        """Ids by the library alone, without end ids."""
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _reset(self) -> None:
         self.pieces = Pieces()
         self.ids, self.begins, self.n_ids = np.zeros(1 << 18, np.uint32), np.zeros((1 << 16) + 1, np.int64), 0
+        self.letters, self.letter_begins, self.n_letters = np.zeros(1 << 20, np.uint8), np.zeros((1 << 16) + 1, np.int64), 0
 
     def _grow(self, size: int) -> None:
         while len(self.powers) < size:
@@ -184,13 +201,38 @@ class Encoder:
         self.ids[self.n_ids : self.n_ids + len(ids)] = ids
         self.begins[first + 1 : first + len(n) + 1] = self.n_ids + np.cumsum(n)
         self.n_ids += len(ids)
+        in_order = [pieces[i] for i in np.concatenate((alone, spaced)).tolist()]
+        letters = np.frombuffer(b"".join(in_order), np.uint8)
+        while self.n_letters + len(letters) > len(self.letters):
+            self.letters = np.concatenate((self.letters, np.zeros_like(self.letters)))
+        while first + len(n) + 1 > len(self.letter_begins):
+            self.letter_begins = np.concatenate((self.letter_begins, np.zeros_like(self.letter_begins)))
+        self.letters[self.n_letters : self.n_letters + len(letters)] = letters
+        self.letter_begins[first + 1 : first + len(n) + 1] = self.n_letters + np.cumsum(np.fromiter(map(len, in_order), np.int64, len(in_order)))
+        self.n_letters += len(letters)
         self.pieces.add(keys[np.concatenate((alone, spaced))])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and the id count of each."""
+        raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+        whole = [not self.cuts_hold or any(a in r for a in self.added) for r in raws]
+        if not any(whole):
+            return self._encode(texts, raws)
+        rest = [i for i, w in enumerate(whole) if not w]
+        found: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        if rest:
+            ids, counts = self._encode([texts[i] for i in rest], [raws[i] for i in rest])
+            found_rest = np.split(ids, np.cumsum(counts)[:-1])
+            for i, x in zip(rest, found_rest, strict=True):
+                found[i] = x
+        some = [i for i, w in enumerate(whole) if w]
+        for i, x in zip(some, self.plain([texts[i] for i in some]), strict=True):
+            found[i] = np.array([*x, END_ID], np.uint32)
+        return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _encode(self, texts: list[str], raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if self.pieces.n > _CACHE_PIECES or self.n_ids > _CACHE_IDS:
             self._reset()
-        raws = [t.encode("utf-8", "surrogatepass") for t in texts]
         sizes = np.fromiter(map(len, raws), np.int64, len(raws))
         doc_ends = np.cumsum(sizes)
         raw = b"".join(raws)
@@ -228,6 +270,10 @@ class Encoder:
             self._add(keys[absent], [raw[a:b] for a, b in zip(starts[k].tolist(), ends[k].tolist(), strict=True)])
             place[absent] = self.pieces.find(keys[absent])
         at = place[which]
+        spelt = self.letter_begins[at]
+        if (self.letter_begins[at + 1] - spelt != ends - starts).any() or (self.letters[np.repeat(spelt - starts, ends - starts) + np.arange(n)] != buf).any():
+            own = self.plain(texts)  # two pieces of one hash
+            return np.array([i for x in own for i in (*x, END_ID)], np.uint32), np.fromiter(map(len, own), np.int64, len(own)) + 1
         first = self.begins[at]
         lengths = self.begins[at + 1] - first
         upto = np.concatenate(([0], np.cumsum(lengths)))
@@ -356,6 +402,16 @@ class Block:
             at += n
 
 
+#: Bytes of stored input a shard; what the planner knows of the input's size sets the number of shards.
+SHARD_BYTES = 32 << 20
+
+
+def _shards_of(docs: DataFrame) -> int:
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(least, -(-size // SHARD_BYTES)), max(least, 1 << 16))
+
+
 _BLOCKS = "shard int, block int, n_docs bigint, n_tokens bigint, payload binary"
 
 
@@ -406,7 +462,7 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None, id_column: str =
         if held:
             yield close()
 
-    return df.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "t").mapInArrow(run, _BLOCKS)
+    return df.repartitionByRange(_shards_of(docs), *order).sortWithinPartitions(*order).select("doc_id", "t").mapInArrow(run, _BLOCKS)
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str | None = None, **columns) -> None:
