@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 
 def corners(b: np.ndarray) -> np.ndarray:
-    """[n, 4, 2], counter-clockwise."""
+    """[n, 4, 2] in counter-clockwise order; the yaw turns a box clockwise."""
     half = np.array([[1, 1], [-1, 1], [-1, -1], [1, -1]]) / 2.0
     local = half[None] * b[:, None, 2:4]
     c, s = np.cos(b[:, 4]), np.sin(b[:, 4])
-    x = local[..., 0] * c[:, None] - local[..., 1] * s[:, None] + b[:, None, 0]
-    y = local[..., 0] * s[:, None] + local[..., 1] * c[:, None] + b[:, None, 1]
+    x = local[..., 0] * c[:, None] + local[..., 1] * s[:, None] + b[:, None, 0]
+    y = local[..., 1] * c[:, None] - local[..., 0] * s[:, None] + b[:, None, 1]
     return np.stack((x, y), axis=2)
 
 
@@ -73,9 +73,10 @@ def rotated_overlap(pairs: DataFrame, criterion: int = -1) -> DataFrame:
 
 
 def pairs_of(boxes: DataFrame, queries: DataFrame, cell: float) -> DataFrame:
-    """Pairs whose bounding squares share a grid cell of side ``cell`` (none that overlap is missed), each once.
+    """Pairs whose circumscribed circles meet (none that overlap is missed), each once.
 
-    A spatial equi-join: a box enters every cell it touches; pairs meeting in several cells are kept in the first.
+    A spatial equi-join: a box enters every cell of a grid of side ``cell`` that its circle's square touches; pairs
+    meeting in several cells are kept in the first.
     """
 
     def celled(df, name):
@@ -86,7 +87,9 @@ def pairs_of(boxes: DataFrame, queries: DataFrame, cell: float) -> DataFrame:
 
     b, q = celled(boxes, "box"), celled(queries, "query")
     j = b.join(q, ["gx", "gy"])
-    return j.where((F.col("gx") == F.greatest("boxx", "queryx")) & (F.col("gy") == F.greatest("boxy", "queryy"))).select("box_id", "box", "query_id", "query")
+    span = lambda n: F.sqrt(F.col(n)[2] * F.col(n)[2] + F.col(n)[3] * F.col(n)[3]) / 2
+    dx, dy, reach = F.col("box")[0] - F.col("query")[0], F.col("box")[1] - F.col("query")[1], span("box") + span("query")
+    return j.where(dx * dx + dy * dy <= reach * reach).where((F.col("gx") == F.greatest("boxx", "queryx")) & (F.col("gy") == F.greatest("boxy", "queryy"))).select("box_id", "box", "query_id", "query")
 
 
 def axis_aligned_iou(b: Column, q: Column) -> Column:
