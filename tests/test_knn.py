@@ -189,3 +189,10 @@ def test_ties_over_the_candidates(metric, exclude_self):
         order = [j for j in np.lexsort((ids, exact[i])) if not exclude_self or j != i][:5]
         mine = got[got["query_id"] == q]
         assert mine["neighbor_id"].tolist() == ids[order].tolist() and np.allclose(mine["distance"], exact[i][order])
+
+
+def test_vectors_far_from_the_origin(spark):
+    r = np.random.default_rng(9)
+    x = frame(spark, 1e6 + r.normal(0, 1e-3, (400, 6)))
+    block, sql = (K.mixed_knn(x, 5, method=m).collect() for m in ("block", "sql"))
+    assert sorted((a["query_id"], a["rank"], a["neighbor_id"]) for a in block) == sorted((a["query_id"], a["rank"], a["neighbor_id"]) for a in sql)

@@ -70,6 +70,10 @@ def top_k(q_ids, q, b_ids, b, k: int, metric: str, exclude_self: bool) -> pd.Dat
     Where more rows than those are as near as the k-th candidate, up to GEMM's rounding, all of them are candidates.
     """
     out = []
+    if metric != "ip" and len(b):  # distances don't change, products lose less where vectors lie far from the origin
+        finite = np.isfinite(b).all(axis=1)
+        centre = b[finite].mean(axis=0) if finite.any() else np.zeros(b.shape[1])
+        q, b = q - centre, b - centre
     norms = np.sqrt((b * b).sum(axis=1))
     reach = norms[np.isfinite(norms)].max(initial=0.0)
     for at in range(0, len(q), 1024):
