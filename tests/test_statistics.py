@@ -73,6 +73,19 @@ def test_modularity_and_communities(spark, monkeypatch, local):
     assert P.modularity(edges.limit(0), l).first()["modularity"] == 0
 
 
+def test_communities_are_the_same_in_memory_and_in_spark(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    e = {(min(a, b), max(a, b)) for a, b in r.integers(0, 60, (160, 2)).tolist() if a != b and (a // 20 == b // 20 or r.random() < 0.1)}
+    edges, nodes = spark.createDataFrame(sorted(e), "src bigint, dst bigint"), spark.range(62)
+    found = []
+    for most in (500_000, 20):
+        monkeypatch.setattr(P, "LOCAL_EDGES", most)
+        found.append({x["id"]: x["label"] for x in P.communities(edges, nodes).collect()})
+    assert found[0] == found[1] and found[0][61] == 61 and all(c <= x for x, c in found[0].items())
+    labels = spark.createDataFrame(list(found[0].items()), "id bigint, label bigint")
+    assert P.modularity(edges, labels).first()["modularity"] > 0.45
+
+
 def test_iou_absent_class(spark):
     cm = P.confusion(spark.createDataFrame([(0, 0), (0, 1), (255, 0), (2, 2)], "gt int, pred int"))
     got = {r["class"]: (r["iou"], r["present"]) for r in P.class_iou(cm).collect()}
@@ -126,6 +139,10 @@ def test_rotated_overlap_against_clipping():
     b[:40] = a[:40] + r.normal(0, 0.1, (40, 5))
     want = [clipped(x, y) for x, y in zip(B.corners(a).tolist(), B.corners(b).tolist(), strict=True)]
     np.testing.assert_allclose(B.intersection_area(a, b), want, atol=1e-9)
+    # corners of a box turned clockwise, written out: half sides 2 and 1, sine 0.6, cosine 0.8
+    turned = B.corners(np.array([[10, 20, 4, 2, np.arcsin(0.6)]]))[0]
+    np.testing.assert_allclose(turned, [(12.2, 19.6), (9, 22), (7.8, 20.4), (11, 18)])
+    assert B.overlap(np.array([[0, 0, 4, 2, 0.5]]), np.array([[1, 1, 4, 2, 0.5]]))[0] == pytest.approx(0.169, abs=1e-3)
     same = B.overlap(a, a)
     np.testing.assert_allclose(same, 1, atol=1e-9)
     touching = np.array([[0, 0, 2, 2, 0.0]]), np.array([[2, 0, 2, 2, 0.0]])

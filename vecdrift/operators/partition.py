@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,103 +53,143 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return terms.agg(F.coalesce(F.sum("q"), F.lit(0.0)).alias("modularity"))
 
 
-#: Graphs of at most so many edges are partitioned in the driver's memory (about 100 bytes an edge); larger ones in Spark.
+#: Graphs of at most so many edges are moved in the driver's memory (about 100 bytes an edge), by the same rule and with
+#: the same result as in Spark; larger ones become so when they are contracted.
 LOCAL_EDGES = 500_000
+_DIGITS = 9
+
 
+def _turn_of(turn: int, node: int) -> bool:
+    return md5(f"{turn}|{node}".encode()).hexdigest() < "8"
 
-def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 12) -> DataFrame:
+
+def communities(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``id, label`` of communities found by modularity: local moves, then the same on the contracted graph (Louvain).
 
-    Deterministic: nodes are visited in id order, ties go to the smaller label. Beyond ``LOCAL_EDGES`` (counted first)
-    moves are synchronous, half of the nodes by hash at a time, every sum a partial aggregation.
+    Deterministic: each turn half of the nodes (by a hash of turn and node) move to the neighbouring community of most
+    gain, ties going to their own, then to the smaller label. Turns go on until two in a row move nothing, or modularity
+    has not grown for six; the best labels count. Levels go on until contraction changes nothing. A community is named
+    by its smallest member.
     """
-    edges = materialize(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")), "graph")
-    if edges.count() <= LOCAL_EDGES:
-        found = louvain([(r["src"], r["dst"]) for r in edges.collect()])
-        spark = edges.sparkSession
-        known = spark.createDataFrame(list(found.items()), "c_id bigint, c bigint")
-        return nodes.select("id").join(known, F.col("id") == F.col("c_id"), "left").select("id", F.coalesce("c", "id").alias("label"))
-    return _communities_spark(edges, nodes, rounds)
-
-
-def louvain(edges: list[tuple[int, int]]) -> dict[int, int]:
-    """Node -> smallest node of its community."""
-    graph: dict[int, dict[int, float]] = {}
-    for a, b in edges:
-        for x, y in ((a, b), (b, a)):
-            graph.setdefault(x, {})
-            graph[x][y] = graph[x].get(y, 0.0) + 1.0
-    member = {v: v for v in graph}
-    total = sum(sum(n.values()) for n in graph.values())
-    while graph:
-        label = {v: v for v in graph}
-        degree = {v: sum(n.values()) for v, n in graph.items()}
-        weight = dict(degree)
-        moved_any, moving = False, True
-        while moving:
-            moving = False
-            for v in sorted(graph):
-                near: dict[int, float] = {}
-                for u, w in graph[v].items():
-                    if u != v:
-                        near[label[u]] = near.get(label[u], 0.0) + w
-                own = label[v]
-                weight[own] -= degree[v]
-                scale = degree[v] / total
-                best, gain = own, near.get(own, 0.0) - weight[own] * scale
-                for c, w in sorted(near.items()):
-                    if w - weight[c] * scale > gain + 1e-12:
-                        best, gain = c, w - weight[c] * scale
-                weight[best] += degree[v]
-                if best != own:
-                    label[v] = best
-                    moving = moved_any = True
-        if not moved_any:
-            break
-        member = {v: label[c] for v, c in member.items()}
-        small: dict[int, dict[int, float]] = {}
-        for v, near_v in graph.items():
-            row = small.setdefault(label[v], {})
-            for u, w in near_v.items():
-                row[label[u]] = row.get(label[u], 0.0) + w
-        graph = small
-    least: dict[int, int] = {}
-    for v, c in member.items():
-        least[c] = min(least.get(c, v), v)
-    return {v: least[c] for v, c in member.items()}
-
-
-def _communities_spark(edges: DataFrame, nodes: DataFrame, rounds: int, levels: int = 2) -> DataFrame:
-    both = edges.union(edges.select("dst", "src")).toDF("u", "v").groupBy("u", "v").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    spark = edges.sparkSession
+    graph = edges.union(edges.select("dst", "src")).toDF("u", "v")
+    graph = materialize(graph.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).groupBy("u", "v").agg(F.count(F.lit(1)).cast("double").alias("w")), "graph")
     out = nodes.select("id", F.col("id").alias("label"))
-    for _ in range(levels):
-        both = materialize(both, "graph")
-        degree = materialize(both.groupBy("u").agg(F.sum("w").alias("k")), "degrees")
-        total = degree.agg(F.sum("k").alias("k")).first()["k"]
-        labels = materialize(degree.select("u", F.col("u").alias("label"), "k"), "labels")
-        quiet = 0
-        for turn in range(rounds):
-            sums = labels.groupBy(F.col("label").alias("c")).agg(F.sum("k").alias("weight"))
-            near = labels.select(F.col("u").alias("v2"), F.col("label").alias("to"))
-            links = both.where("u <> v").join(near, F.col("v") == F.col("v2")).groupBy("u", "to").agg(F.sum("w").alias("w"))
-            stay = labels.select("u", F.col("label").alias("to"), F.lit(0.0).alias("w"))
-            offers = links.union(stay).groupBy("u", "to").agg(F.sum("w").alias("w"))
-            offers = offers.join(labels.withColumnRenamed("u", "lu"), F.col("u") == F.col("lu")).join(sums, F.col("to") == F.col("c"))
-            rest = F.col("weight") - F.when(F.col("to") == F.col("label"), F.col("k")).otherwise(F.lit(0.0))
-            gain = F.round(F.col("w") - rest * F.col("k") / F.lit(float(total)), 9)
-            best = offers.groupBy("u").agg(F.max_by("to", F.struct(gain, F.col("to") == F.col("label"), -F.col("to"))).alias("best"))
-            mine = F.pmod(F.xxhash64(F.lit(turn), "u"), F.lit(2)) == 0
-            moved = labels.join(best.withColumnRenamed("u", "bu"), F.col("u") == F.col("bu")).select("u", F.when(mine, F.col("best")).otherwise(F.col("label")).alias("label"), "k", (mine & (F.col("best") != F.col("label"))).alias("moved"))
-            moved = materialize(moved, "labels")
-            labels = moved.drop("moved")
-            quiet = quiet + 1 if moved.where("moved").isEmpty() else 0
-            if quiet == 2:
+    while True:
+        if graph.count() <= 2 * LOCAL_EDGES:
+            rows = graph.toPandas()
+            known = spark.createDataFrame(list(louvain(rows["u"].to_numpy(), rows["v"].to_numpy(), rows["w"].to_numpy()).items()), "su bigint, sl bigint")
+            graph = None
+        else:
+            known = _moved(graph)
+        out = out.join(known, F.col("label") == F.col("su"), "left").select("id", F.coalesce("sl", "label").alias("label"))
+        if graph is None or known.where("su <> sl").isEmpty():
+            break
+        a, b = known.toDF("ua", "la"), known.toDF("ub", "lb")
+        graph = materialize(graph.join(a, F.col("u") == F.col("ua")).join(b, F.col("v") == F.col("ub")).groupBy(F.col("la").alias("u"), F.col("lb").alias("v")).agg(F.sum("w").alias("w")), "graph")
+        out = materialize(out, "communities")
+    least = out.groupBy(F.col("label").alias("l2")).agg(F.min("id").alias("least"))
+    return out.join(least, F.col("label") == F.col("l2")).select("id", F.col("least").alias("label"))
+
+
+class _Watch:
+    """When the turns of a level end, and whether the labels just made are the best so far."""
+
+    def __init__(self) -> None:
+        self.best, self.quiet, self.since = float("-inf"), 0, 0
+
+    def better(self, quality: float) -> bool:
+        grown = quality > self.best + 10.0**-_DIGITS
+        self.since = 0 if grown else self.since + 1
+        self.best = max(self.best, quality)
+        return grown
+
+    def ended(self, moved: bool) -> bool:
+        self.quiet = 0 if moved else self.quiet + 1
+        return self.quiet == 2 or self.since == 6
+
+
+def louvain(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> dict[int, int]:
+    """Node -> community of symmetric weighted pairs (both directions; a pair of a node with itself once)."""
+    member = {int(x): int(x) for x in np.unique(u)}
+    while len(u):
+        ids, place = np.unique(u, return_inverse=True)
+        to = np.searchsorted(ids, v)
+        k = np.bincount(place, w)
+        total = k.sum()
+        label = best = np.arange(len(ids))
+        other = place != to
+        watch, turn = _Watch(), 0
+        watch.better(_quality(place, to, w, label, k, total))
+        while True:
+            weight = np.bincount(label, k, len(ids))
+            who = np.concatenate((place[other], np.arange(len(ids))))
+            near = np.concatenate((label[to[other]], label))
+            code, which = np.unique(who * len(ids) + near, return_inverse=True)
+            pull = np.bincount(which, np.concatenate((w[other], np.zeros(len(ids)))))
+            who, near = code // len(ids), code % len(ids)
+            own = near == label[who]
+            gain = np.round(pull - (weight[near] - np.where(own, k[who], 0.0)) * k[who] / total, _DIGITS)
+            order = np.lexsort((near, ~own, -gain, who))
+            first = order[np.concatenate(([True], who[order][1:] != who[order][:-1]))]
+            mine = np.fromiter((_turn_of(turn, x) for x in ids.tolist()), bool, len(ids))
+            new = np.where(mine, near[first], label)
+            moved = bool((new != label).any())
+            label = new
+            if watch.better(_quality(place, to, w, label, k, total)):
+                best = label
+            turn += 1
+            if watch.ended(moved):
                 break
-        step = labels.select(F.col("u").alias("su"), F.col("label").alias("sl"))
-        out = out.join(step, F.col("label") == F.col("su"), "left").select("id", F.coalesce("sl", "label").alias("label"))
-        a, b = step.toDF("ua", "la"), step.toDF("ub", "lb")
-        both = both.join(a, F.col("u") == F.col("ua")).join(b, F.col("v") == F.col("ub")).groupBy(F.col("la").alias("u"), F.col("lb").alias("v")).agg(F.sum("w").alias("w"))
-    return materialize(out, "communities")
+        if (best == np.arange(len(ids))).all():
+            break
+        found = dict(zip(ids.tolist(), ids[best].tolist(), strict=True))
+        member = {x: found[c] for x, c in member.items()}
+        code, which = np.unique(best[place] * len(ids) + best[to], return_inverse=True)
+        w = np.bincount(which, w)
+        u, v = ids[code // len(ids)], ids[code % len(ids)]
+    return member
+
+
+def _quality(place, to, w, label, k, total) -> float:
+    inside = w[label[place] == label[to]].sum() / total
+    return float(inside - ((np.bincount(label, k) / total) ** 2).sum())
+
+
+def _moved(graph: DataFrame) -> DataFrame:
+    """``su, sl``: one level's moves in Spark, every sum a partial aggregation."""
+    degree = materialize(graph.groupBy("u").agg(F.sum("w").alias("k")), "degrees")
+    total = float(degree.agg(F.sum("k").alias("k")).first()["k"])
+    best = labels = materialize(degree.select("u", F.col("u").alias("label"), "k"), "labels")
+
+    def quality(labels):
+        a, b = labels.select(F.col("u").alias("ua"), F.col("label").alias("la")), labels.select(F.col("u").alias("ub"), F.col("label").alias("lb"))
+        inside = graph.join(a, F.col("u") == F.col("ua")).join(b, F.col("v") == F.col("ub")).where("la = lb").agg(F.sum("w").alias("x")).first()["x"] or 0.0
+        squares = labels.groupBy("label").agg(F.sum("k").alias("k")).agg(F.sum(F.pow(F.col("k") / total, F.lit(2))).alias("x")).first()["x"]
+        return inside / total - squares
+
+    watch, turn = _Watch(), 0
+    watch.better(quality(labels))
+    while True:
+        sums = labels.groupBy(F.col("label").alias("c")).agg(F.sum("k").alias("weight"))
+        near = labels.select(F.col("u").alias("v2"), F.col("label").alias("to"))
+        links = graph.where("u <> v").join(near, F.col("v") == F.col("v2")).groupBy("u", "to").agg(F.sum("w").alias("w"))
+        stay = labels.select("u", F.col("label").alias("to"), F.lit(0.0).alias("w"))
+        offers = links.union(stay).groupBy("u", "to").agg(F.sum("w").alias("w"))
+        offers = offers.join(labels.withColumnRenamed("u", "lu"), F.col("u") == F.col("lu")).join(sums, F.col("to") == F.col("c"))
+        rest = F.col("weight") - F.when(F.col("to") == F.col("label"), F.col("k")).otherwise(F.lit(0.0))
+        gain = F.round(F.col("w") - rest * F.col("k") / F.lit(total), _DIGITS)
+        choice = offers.groupBy("u").agg(F.max_by("to", F.struct(gain, F.col("to") == F.col("label"), -F.col("to"))).alias("to"))
+        mine = F.md5(F.concat_ws("|", F.lit(str(turn)), F.col("u").cast("string")).cast("binary")) < "8"
+        moved = labels.join(choice.withColumnRenamed("u", "bu"), F.col("u") == F.col("bu")).select("u", F.when(mine, F.col("to")).otherwise(F.col("label")).alias("label"), "k", (mine & (F.col("to") != F.col("label"))).alias("moved"))
+        moved = materialize(moved, "labels")
+        labels = moved.drop("moved")
+        if watch.better(quality(labels)):
+            best = labels
+        turn += 1
+        if watch.ended(not moved.where("moved").isEmpty()):
+            break
+    return best.select(F.col("u").alias("su"), F.col("label").alias("sl"))
 
 
 def confusion(df: DataFrame, gt: str = "gt", pred: str = "pred", ignore: int = 255) -> DataFrame:
