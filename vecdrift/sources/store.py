@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests, a laptop) a temporary one of our own."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset a temporary one of our own, in local mode alone."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not hasattr(shared_dir, "own"):
         shared_dir.own = tempfile.mkdtemp(prefix="vecdrift-")
     return "file://" + shared_dir.own
@@ -159,6 +161,22 @@ def manifest(folders: DataFrame, embeddings: DataFrame, mode: str) -> DataFrame:
     return f.crossJoin(e).select(F.to_json(F.struct(F.lit(mode).alias("mode"), "folder_ranges", "embeddings")).alias("json"))
 
 
+def write_results(spark: SparkSession, results: dict, path: str) -> None:
+    """One JSON object as one file at ``path``, by any file system that Spark knows."""
+    import json
+
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(p, True)
+    try:
+        out.write(json.dumps(results, indent=2, default=_plain).encode())
+    finally:
+        out.close()
+
+
+def _plain(x):
+    return x.item() if isinstance(x, np.generic) else x.tolist() if isinstance(x, np.ndarray) else str(x)
+
+
 def load_results(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``space, k, level, metric, value`` of nested result files (one JSON object each); missing files are skipped with a warning."""
     import warnings
@@ -175,7 +193,9 @@ def load_results(spark: SparkSession, paths: list[str]) -> DataFrame:
     empty = "space string, k string, level string, metric string, value double"
     if not there:
         return spark.createDataFrame([], empty)
-    raw = spark.read.text(there, wholetext=True).select(F.from_json("value", "map<string, map<string, map<string, map<string, double>>>>").alias("m"))
+    facts = "map<string, map<string, map<string, map<string, double>>>>"
+    text = spark.read.text(there, wholetext=True)  # with sections (config, sweep, ...) or the sweep alone
+    raw = text.select(F.coalesce(F.from_json(F.get_json_object("value", "$.sweep"), facts), F.from_json("value", facts)).alias("m"))
     out = raw.select(F.explode("m").alias("space", "m")).select("space", F.explode("m").alias("k", "m"))
     return out.select("space", "k", F.explode("m").alias("level", "m")).select("space", "k", "level", F.explode("m").alias("metric", "value"))
 
