@@ -48,6 +48,7 @@ def iso_noise(x: np.ndarray, severity: int, rng: np.random.Generator) -> np.ndar
 
 #: Fixed values by level 1..3 of the simple augmentations.
 NOISE, BRIGHTNESS, CONTRAST = (0.02, 0.04, 0.08), (2.0, 4.0, 8.0), (0.2, 0.5, 1.0)
+BLUR_SIZE, BLUR_SIGMA, HUE = 11, (2.0, 4.0, 8.0), (0.1, 0.3, 0.5)
 
 
 def noise(x: np.ndarray, level: int, rng: np.random.Generator) -> np.ndarray:
@@ -63,7 +64,34 @@ def flatten_contrast(x: np.ndarray, level: int, rng: np.random.Generator) -> np.
     return np.clip(x.mean() + CONTRAST[level - 1] * (x - x.mean()), 0, 255)
 
 
-REGISTRY = {"dark": dark, "iso_noise": iso_noise, "noise": noise, "brightness_factor": brighten, "contrast_factor": flatten_contrast}
+def blur(x: np.ndarray, level: int, rng: np.random.Generator) -> np.ndarray:
+    """Gaussian of 11 taps along both axes of an image [height, width, ...], mirrored at its borders; square if flat."""
+    flat = x.ndim == 1
+    side = round(x.size**0.5)
+    image = x.reshape(side, side) if flat else x
+    half = BLUR_SIZE // 2
+    taps = np.exp(-0.5 * (np.arange(-half, half + 1) / BLUR_SIGMA[level - 1]) ** 2)
+    taps /= taps.sum()
+    for axis in (0, 1):
+        wide = np.pad(image, [(half, half) if k == axis else (0, 0) for k in range(image.ndim)], mode="reflect" if image.shape[axis] > half else "symmetric")
+        image = sum(t * np.take(wide, np.arange(k, k + image.shape[axis]), axis=axis) for k, t in enumerate(taps))
+    return image.reshape(x.shape)
+
+
+def turn_hue(x: np.ndarray, level: int, rng: np.random.Generator) -> np.ndarray:
+    """RGB (last axis, or flat triples): the hue turned by a share of the circle drawn within the level's range."""
+    rgb = x.reshape(-1, 3) / 255.0
+    top, low = rgb.max(axis=1), rgb.min(axis=1)
+    span = top - low
+    safe = np.where(span > 0, span, 1)
+    r, g, b = rgb.T
+    hue = np.where(top == r, (g - b) / safe % 6, np.where(top == g, (b - r) / safe + 2, (r - g) / safe + 4)) / 6
+    hue = (hue + rng.uniform(-HUE[level - 1], HUE[level - 1])) % 1
+    out = [top - span * np.clip(np.minimum(k, 4 - k), 0, 1) for k in ((n + hue * 6) % 6 for n in (5, 3, 1))]
+    return (np.stack(out, axis=1) * 255.0).reshape(x.shape)
+
+
+REGISTRY = {"dark": dark, "iso_noise": iso_noise, "noise": noise, "brightness_factor": brighten, "contrast_factor": flatten_contrast, "gaussian_blur": blur, "color_jitter": turn_hue}
 
 
 def register(name: str, function) -> None:

@@ -48,3 +48,21 @@ def fingerprint(x: DataFrame, samples: int = 256) -> DataFrame:
 def job_grid(conditions: DataFrame, ids: DataFrame, done: DataFrame) -> DataFrame:
     """Condition x id jobs that aren't done; conditions are a small fixed dimension."""
     return ids.crossJoin(F.broadcast(conditions.select("degradation", "severity"))).join(done, ["degradation", "severity", "id"], "left_anti")
+
+
+def cached_projection(sets: dict[str, DataFrame], path: str, project) -> tuple[dict[str, DataFrame], str]:
+    """``project(sets)`` (frames ``id, x, y`` by name), kept as Parquet below ``path`` until the content of a set changes.
+
+    The second value says what was found: "hit", "miss" (nothing kept) or "stale" (kept for other content).
+    """
+    spark = next(iter(sets.values())).sparkSession
+    now = "|".join(f"{name}:{fingerprint(x).first()['sha256']}" for name, x in sorted(sets.items()))
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_fingerprint")
+    there = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+    names = {name: f"{path}/set={k}" for k, name in enumerate(sorted(sets))}
+    if there and [r["value"] for r in spark.read.text(f"{path}/_fingerprint").collect()] == [now]:
+        return {name: spark.read.parquet(at) for name, at in names.items()}, "hit"
+    for name, frame in project(sets).items():
+        frame.write.mode("overwrite").parquet(names[name])
+    spark.createDataFrame([(now,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_fingerprint")
+    return {name: spark.read.parquet(at) for name, at in names.items()}, "stale" if there else "miss"

@@ -858,9 +858,9 @@ def sigmoid_depth(spark, d):
 BOX_SQL = E_SQL + ", bx AS (SELECT id, label, v[1] * 8 AS x, v[2] * 8 AS y, abs(v[3]) * 8 + 0.5 AS w, abs(v[4]) * 8 + 0.5 AS h FROM e), pr AS (SELECT b.id AS box_id, q.id AS query_id, greatest(least(b.x + b.w / 2, q.x + q.w / 2) - greatest(b.x - b.w / 2, q.x - q.w / 2), 0) * greatest(least(b.y + b.h / 2, q.y + q.h / 2) - greatest(b.y - b.h / 2, q.y - q.h / 2), 0) AS i, b.w * b.h + q.w * q.h AS u FROM bx b, bx q WHERE b.label < 5 AND q.label >= 5)"
 
 
-def boxes(spark, d, yaw: bool) -> DataFrame:
+def boxes(spark, d, yaw: bool, fixed: float = 0.0) -> DataFrame:
     v = F.col("vec")
-    return vecs(spark, d).select("id", "label", F.array(v[0] * 8, v[1] * 8, F.abs(v[2]) * 8 + 0.5, F.abs(v[3]) * 8 + 0.5, v[4] * 3 if yaw else F.lit(0.0)).alias("box"))
+    return vecs(spark, d).select("id", "label", F.array(v[0] * 8, v[1] * 8, F.abs(v[2]) * 8 + 0.5, F.abs(v[3]) * 8 + 0.5, v[4] * 3 if yaw else F.lit(fixed)).alias("box"))
 
 
 @query(f"WITH {BOX_SQL} SELECT box_id, query_id, round(i / (u - i), 6) AS overlap FROM pr WHERE round(i / (u - i), 6) > 0")
@@ -876,6 +876,13 @@ def rotated_iou_yaw_zero(spark, d):
     return rounded(B.rotated_overlap(B.pairs_of(b.where("label < 5"), b.where("label >= 5"), 4.0)), "overlap").where("overlap > 0")
 
 
+# boxes that share a yaw: their centres turned back, then as without one
+@query(f"WITH {BOX_SQL.replace('v[1] * 8 AS x, v[2] * 8 AS y', 'v[1] * 8 * cos(0.5) - v[2] * 8 * sin(0.5) AS x, v[1] * 8 * sin(0.5) + v[2] * 8 * cos(0.5) AS y')} SELECT box_id, query_id, round(i / (u - i), 6) AS overlap FROM pr WHERE round(i / (u - i), 6) > 0")
+def rotated_iou_yaw_half(spark, d):
+    b = boxes(spark, d, False, 0.5)
+    return rounded(B.rotated_overlap(B.pairs_of(b.where("label < 5"), b.where("label >= 5"), 4.0)), "overlap").where("overlap > 0")
+
+
 @query()
 def rotated_iou(spark, d):
     b = boxes(spark, d, True)
