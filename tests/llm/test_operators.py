@@ -308,13 +308,52 @@ def test_simhash(spark):
     for i, f, c in zip(ids, fps, want, strict=True):
         assert got[i, f"{f:016x}"] == c
     assert SH.fingerprint(None) == SH.fingerprint(" ") == 0
+    # what stays: one of each component of fingerprint links and of five-word links between the components' least
     kept = SH.near_dedup(table(spark, texts, ids)).select("doc_id").collect()
-    assert sorted(r["doc_id"] for r in kept) == sorted({c for c in want if c is not None})
+    assert sorted(r["doc_id"] for r in kept) == near_brute(texts, ids, want)
     twice = SH.near_dedup(table(spark, ["a b c", "a b c", "q"], ids=[1, 1, None]))
     assert sorted(str(r["doc_id"]) for r in twice.collect()) == ["1", "None"]
     assert SH.digest(table(spark, texts).limit(0)).count() == 0
 
 
+def shingles(t):
+    w = (t or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {()}
+
+
+def near_brute(texts, ids, component):
+    left = sorted({c for c in component if c is not None})
+    group = {c: {c} for c in left}
+    for i, a in enumerate(left):
+        for b in left[:i]:
+            x, y = (shingles(texts[ids.index(c)]) for c in (a, b))
+            if len(x & y) / len(x | y) >= 0.8:
+                both = group[a] | group[b]
+                for c in both:
+                    group[c] = both
+    return sorted({min(g) for g in group.values()})
+
+
+@pytest.mark.parametrize("hot", [2048, 2])
+def test_near_copies_by_five_words(spark, monkeypatch, hot):
+    monkeypatch.setattr(SH.similar_links, "__defaults__", (hot,))
+    r = np.random.default_rng(7)
+    texts, ids = [], []
+    for g in range(12):
+        words = prose(700 + g, 200).split()
+        for k in range(5):
+            w = list(words)
+            for at in r.choice(len(w), (0, 1, 2, 3, 25)[k], replace=False):  # about 0.95, 0.90, 0.86, 0.2 of the shingles
+                w[at] = f"new{at}"
+            texts.append(" ".join(w))
+            ids.append(10 * g + k)
+    kept = sorted(x["doc_id"] for x in SH.near_dedup(table(spark, texts, ids)).collect())
+    assert kept == sorted([10 * g for g in range(12)] + [10 * g + 4 for g in range(12)])
+    a, b = SH.min_hashes(texts[0]), SH.min_hashes(texts[2])
+    x, y = shingles(texts[0]), shingles(texts[2])
+    assert abs((a == b).mean() - len(x & y) / len(x | y)) < 0.15
+
+
 def test_fingerprint_by_bits():
     import xxhash
 

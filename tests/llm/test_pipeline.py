@@ -6,7 +6,7 @@ import pytest
 import corpus_pipeline as CP
 from vecdrift.llm import decontaminate, mixing, simhash, token_output, toxicity
 
-from .test_operators import prose
+from .test_operators import near_brute, prose
 
 
 @pytest.fixture(scope="module")
@@ -47,7 +47,9 @@ def test_stages(spark, folder, tmp_path):
     assert not {i for i in kept if i < 160 and i % 5 == 1}
     assert len({i for i in range(160) if i % 5 != 1} - kept) <= 3 and 400 in kept
     before, after = seen["simhash_near_dedup"]
-    want = {r["component_id"] for r in simhash.digest(before).collect()}
+    rows = before.collect()
+    component = {r["doc_id"]: r["component_id"] for r in simhash.digest(before).collect()}
+    want = set(near_brute([r["text"] for r in rows], [r["doc_id"] for r in rows], [component[r["doc_id"]] for r in rows]))
     assert sorted(r["doc_id"] for r in after.collect()) == sorted(want)
     assert not {200 + k for k in range(8) if 5 * k in kept} & want
     before, after = seen["benchmark_decontamination"]

@@ -13,6 +13,12 @@ the task: at most size - 1 links, all true ones, connecting exactly what all pai
 round by round (each node joins the neighbour of least hash) with every round's tables in shared storage; joins there
 are between plain scans, so adaptive execution can split a hot node. Nothing is collected to the driver.
 
+:func:`near_dedup` goes on from there. Documents of five-word shingle similarity 0.8 differ in about ten of 64 bits;
+covering that radius takes thousands of tables. So what the fingerprints leave, one document a component, is compared
+once more: 128 min-hashes of the five-word shingles, 20 bands of five of them as buckets (a pair at 0.8 shares one with
+probability 0.9996), and a link if the share of equal min-hashes is at least 0.8 less its standard error. A band's bucket
+of more than ``HOT`` members is dealt anew by the other bands. Of each component one document stays.
+
 Defined results: null, empty or blank texts have fingerprint 0 and link like any other; texts of one or two words are
 one shingle; a null doc_id takes part but names a component only if all its ids are null; repeated rows
 give equal rows. Empty tables work. Extra columns pass through :func:`near_dedup`.
@@ -31,6 +37,12 @@ RADIUS = 3
 SHINGLE = 3
 SEED = 42
 HOT = 2048
+#: The second comparison of :func:`near_dedup`.
+WORDS, SIMILAR = 5, 0.8
+HASHES, BANDS = 128, 20
+ROWS = 5
+_EQUAL = int(np.ceil(HASHES * (SIMILAR - (SIMILAR * (1 - SIMILAR) / HASHES) ** 0.5)))
+_ODD = (np.random.default_rng(SEED).integers(0, 1 << 63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -54,6 +66,95 @@ def fingerprint(text: str | None) -> int:
     return int((np.uint64(1) << np.arange(64, dtype=np.uint64))[2 * counts > n].sum(dtype=np.uint64))
 
 
+def min_hashes(text: str | None) -> np.ndarray:
+    """``HASHES`` min-hashes of the text's five-word shingles (fewer words: the whole sequence; none: zeros)."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not words:
+        return np.zeros(HASHES, np.uint64)
+    known = {w: xxh64_intdigest(w, SEED) for w in set(words)}
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(h) - WORDS + 1)
+    x = np.zeros(n, np.uint64)
+    for k in range(min(WORDS, len(h))):
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+    x ^= x >> np.uint64(32)
+    x = np.unique(x * np.uint64(0xD6E8FEB86659FD93))
+    out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(x), 1 << 11):
+        few = x[at : at + (1 << 11), None] * _ODD
+        np.minimum(out, few.min(axis=0), out=out)
+    return out
+
+
+def sketched(keyed: DataFrame, key: str, text_column: str) -> DataFrame:
+    """``doc_id`` (the key), ``fp``, ``sketch`` (a byte a min-hash), ``bands``. Narrow."""
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            fp = np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts))
+            m = np.array([min_hashes(t) for t in texts], np.uint64).reshape(-1, HASHES)
+            sketch = (m * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8)
+            bands = np.zeros((len(texts), BANDS), np.uint64)
+            for k in range(ROWS):
+                bands = (bands ^ (bands >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + m[:, k : k + ROWS * BANDS : ROWS]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.view(np.int64).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), pa.array([r.tobytes() for r in sketch], pa.binary()), lists], names=["doc_id", "fp", "sketch", "bands"])
+
+    df = keyed.select(F.col(key).alias("doc_id"), F.col(text_column).cast("string").alias("t"))
+    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, fp bigint, sketch binary, bands array<bigint>")
+
+
+def _similar(batches):
+    """Sorted rows (v, k, w, l, node, sketch) -> a spanning forest of the links of each group."""
+    key, nodes, sketches = None, [], []
+    out: list[tuple[int, int]] = []
+
+    def close():
+        if len(nodes) < 2:
+            return
+        x = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, HASHES)
+        left = np.arange(len(x))
+        while len(left):
+            queue, left = [int(left[0])], left[1:]
+            while queue and len(left):
+                i = queue.pop()
+                near = (x[left] == x[i]).sum(axis=1) >= _EQUAL
+                found = left[near].tolist()
+                left = left[~near]
+                out.extend((nodes[i], nodes[j]) for j in found)
+                queue += found
+
+    def batch():
+        pairs = np.array(out, np.int64).reshape(-1, 2)
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], names=["a", "b"])
+
+    for b in batches:
+        groups = zip(*(b.column(c).to_pylist() for c in range(4)), strict=True)
+        for now, node, sketch in zip(groups, b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
+            if now != key:
+                close()
+                key, nodes, sketches = now, [], []
+            nodes.append(node)
+            sketches.append(sketch)
+        if len(out) > 1 << 16:
+            yield batch()
+    close()
+    yield batch()
+
+
+def similar_links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
+    """``a, b``: links of ``node, sketch, bands`` found within buckets of bands; some repeat."""
+    rows = nodes.select("node", "sketch", "bands", F.posexplode("bands").alias("v", "k"))
+    counts = materialize(rows.groupBy("v", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bands").select(F.col("v").alias("cv"), F.col("k").alias("ck"), "n")
+    members = rows.join(counts, (F.col("v") == F.col("cv")) & (F.col("k") == F.col("ck")))
+    level = F.when(F.col("n") <= hot, F.array(F.lit(0).cast("long"))).otherwise(F.col("bands"))
+    dealt = members.select("v", "k", "node", "sketch", "n", F.posexplode(level).alias("w", "l")).where((F.col("n") <= hot) | (F.col("w") != F.col("v"))).select("v", "k", "w", "l", "node", "sketch")
+    return dealt.repartition("v", "k", "w", "l").sortWithinPartitions("v", "k", "w", "l").mapInArrow(_similar, "a bigint, b bigint")
+
+
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, fp`` (the unsigned 64 bits as a long). Narrow."""
 
@@ -183,7 +284,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, fp, component_id``: one row an input row."""
-    own = materialize(fingerprints(docs, id_column, text_column), "fingerprints")
+    return _classes(materialize(fingerprints(docs, id_column, text_column), "fingerprints"))
+
+
+def _classes(own: DataFrame) -> DataFrame:
     fps = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     labels = components(links(fps.select("fp")))
     named = materialize(fps.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label")), "named")
@@ -193,12 +297,18 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
 
 def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: of those with the least id (null ids last) the one of least content hash."""
+    """``docs`` with one row of each group of near copies: of those with the least id (null ids last) the one of least content hash."""
     keyed = docs.withColumn("__vd_h", F.xxhash64(F.col(text_column)))
     key = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col("__vd_h").alias("h"))
-    found = classes(keyed.withColumn("__vd_key", key), "__vd_key", text_column)
-    first = found.select("component_id").distinct().select(F.col("component_id.id").alias("__vd_id"), F.col("component_id.h").alias("__vd_h2"))
-    rows = keyed.join(first, F.col(id_column).eqNullSafe(F.col("__vd_id")) & (F.col("__vd_h") == F.col("__vd_h2")), "left_semi")
+    own = materialize(sketched(keyed.withColumn("__vd_key", key), "__vd_key", text_column), "sketches")
+    first = _classes(own).select(F.col("component_id").alias("key")).distinct()
+    nodes = own.join(first, F.col("doc_id") == F.col("key")).groupBy("key").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    nodes = materialize(nodes.withColumn("node", F.xxhash64("key")), "representatives")
+    labels = components(similar_links(nodes)).withColumnRenamed("node", "n2")
+    named = nodes.select("key", "node").join(labels, F.col("node") == F.col("n2"), "left")
+    last = named.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("key").alias("key"))
+    last = last.select(F.col("key.id").alias("__vd_id"), F.col("key.h").alias("__vd_h2"))
+    rows = keyed.join(last, F.col(id_column).eqNullSafe(F.col("__vd_id")) & (F.col("__vd_h") == F.col("__vd_h2")), "left_semi")
     return rows.dropDuplicates([id_column, "__vd_h"]).select(*[F.col(c) for c in docs.columns])
 
 
