@@ -196,3 +196,31 @@ def test_vectors_far_from_the_origin(spark):
     x = frame(spark, 1e6 + r.normal(0, 1e-3, (400, 6)))
     block, sql = (K.mixed_knn(x, 5, method=m).collect() for m in ("block", "sql"))
     assert sorted((a["query_id"], a["rank"], a["neighbor_id"]) for a in block) == sorted((a["query_id"], a["rank"], a["neighbor_id"]) for a in sql)
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_work_space_of_a_search_is_bounded(metric):
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    b, ids = r.random((40_000, 4)), np.arange(40_000)
+    tracemalloc.start()
+    near = K.top_k(ids[:1024], b[:1024], ids, b, 5, metric, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(near) == 5 * 1024
+    assert peak < 160e6  # all products at once are 328 MB
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_tiles_meet_in_one_order(monkeypatch, metric):
+    monkeypatch.setattr(K, "_TILE", 7)
+    monkeypatch.setattr(K, "_QUERIES", 5)
+    r = np.random.default_rng(4)
+    b, ids = r.integers(0, 3, (60, 3)).astype(float), r.permutation(60) * 3
+    b[11, 1], b[20, 0] = np.inf, np.nan
+    near = K.top_k(ids, b, ids, b, 12, metric, True)
+    for i, x in zip(ids.tolist(), b, strict=True):
+        d = [(-float(x @ y) if metric == "ip" else float(((x - y) ** 2).sum()), j) for j, y in zip(ids.tolist(), b, strict=True) if j != i]
+        want = sorted(p for p in d if np.isfinite(p[0]))[:12]
+        assert [(d, j) for d, j in near[near["query_id"] == i][["distance", "neighbor_id"]].itertuples(index=False)] == want
