@@ -728,3 +728,19 @@ def test_targets_against_resharing(spark):
         got = {x["source"]: x["target"] for x in MX.targets(df).collect()}
         want = targets_brute(sizes) if sum(sizes.values()) else dict.fromkeys(sizes, 0.0)
         assert got == pytest.approx(want), (trial, sizes)
+
+
+def test_links_of_a_hot_band_alone_are_found(spark):
+    """Members that share one hot band and no other one: every link within the bucket connects."""
+    r = np.random.default_rng(6)
+    n = 60
+    sketches = r.integers(0, 256, (n, SH.HASHES), dtype=np.uint8)
+    group = r.permutation(n) // 3
+    for i in range(n):
+        sketches[i] = sketches[int(np.flatnonzero(group == group[i])[0])]
+    bands = [[7] + [1000 * i + v for v in range(1, SH.BANDS)] for i in range(n)]
+    nodes = spark.createDataFrame([(i, bytearray(x.tobytes()), b) for i, (x, b) in enumerate(zip(sketches, bands, strict=True))], "node bigint, sketch binary, bands array<bigint>")
+    for hot in (2, 7, 30, 100):
+        label = {x["node"]: x["label"] for x in SH.components(SH.similar_links(nodes, hot)).collect()}
+        assert len(label) == n
+        assert len({(label[i], int(group[i])) for i in range(n)}) == len(set(label.values())) == 20

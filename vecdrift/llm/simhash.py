@@ -17,7 +17,7 @@ are between plain scans, so adaptive execution can split a hot node. Nothing is
 covering that radius takes thousands of tables. So what the fingerprints leave, one document a component, is compared
 once more: 128 min-hashes of the five-word shingles, 20 bands of five of them as buckets (a pair at 0.8 shares one with
 probability 0.9996), and a link if the share of equal min-hashes is at least 0.8 less its standard error. A band's bucket
-of more than ``HOT`` members is dealt anew by the other bands. Of each component one document stays.
+of more than ``HOT`` members is compared in pairs of blocks, so no link is lost in it. Of each component one document stays.
 
 Defined results: null, empty or blank texts have fingerprint 0 and link like any other; texts of one or two words are
 one shingle; a null doc_id takes part but names a component only if all its ids are null; repeated rows
@@ -145,14 +145,36 @@ def _similar(batches):
     yield batch()
 
 
+def _compared(dealt: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links within the groups ``v, k, w, l`` of ``node``; sketches travel only where something is compared."""
+    sketches = nodes.select(F.col("node").alias("n2"), "sketch")
+    rows = dealt.join(sketches, F.col("node") == F.col("n2")).select("v", "k", "w", "l", "node", "sketch")
+    return rows.repartition("v", "k", "w", "l").sortWithinPartitions("v", "k", "w", "l").mapInArrow(_similar, "a bigint, b bigint")
+
+
 def similar_links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
-    """``a, b``: links of ``node, sketch, bands`` found within buckets of bands; some repeat."""
-    rows = nodes.select("node", "sketch", "bands", F.posexplode("bands").alias("v", "k"))
-    counts = materialize(rows.groupBy("v", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bands").select(F.col("v").alias("cv"), F.col("k").alias("ck"), "n")
-    members = rows.join(counts, (F.col("v") == F.col("cv")) & (F.col("k") == F.col("ck")))
-    level = F.when(F.col("n") <= hot, F.array(F.lit(0).cast("long"))).otherwise(F.col("bands"))
-    dealt = members.select("v", "k", "node", "sketch", "n", F.posexplode(level).alias("w", "l")).where((F.col("n") <= hot) | (F.col("w") != F.col("v"))).select("v", "k", "w", "l", "node", "sketch")
-    return dealt.repartition("v", "k", "w", "l").sortWithinPartitions("v", "k", "w", "l").mapInArrow(_similar, "a bigint, b bigint")
+    """``a, b``: links of ``node, sketch, bands`` that connect what all links within buckets of bands connect; some repeat.
+
+    A bucket of more than ``hot`` members is dealt into blocks of about half as many. Block 0 first meets every other;
+    where that leaves the bucket in more than one component, every two of the other blocks meet too.
+    """
+    keys = nodes.select("node", F.posexplode("bands").alias("v", "k"))
+    counts = materialize(keys.groupBy("v", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bands").select(F.col("v").alias("cv"), F.col("k").alias("ck"), "n")
+    blocks = F.when(F.col("n") <= hot, F.lit(1)).otherwise(F.ceil(F.col("n") / F.lit(max(1, hot // 2)))).cast("int")
+    members = keys.join(counts, (F.col("v") == F.col("cv")) & (F.col("k") == F.col("ck"))).select("v", "k", "node", blocks.alias("m"))
+    members = materialize(members.withColumn("p", F.pmod(F.xxhash64("node", "v"), F.col("m")).cast("int")), "members")
+    last = F.col("m") - 1
+    met = F.when(F.col("p") == 0, F.sequence(F.least(F.lit(1), last), last)).otherwise(F.array("p"))
+    first = _compared(members.select("v", "k", F.lit(0).alias("w"), F.explode(met).alias("l"), "node"), nodes)
+    large = members.where("m > 2")
+    if large.isEmpty():
+        return first
+    first = materialize(first, "links")
+    large = large.join(components(first).withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").withColumn("label", F.coalesce("label", "node"))
+    parted = large.groupBy(F.col("v").alias("ov"), F.col("k").alias("ok")).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    rest = large.where("p > 0").join(parted, (F.col("v") == F.col("ov")) & (F.col("k") == F.col("ok")), "left_semi")
+    rest = rest.withColumn("q", F.explode(F.sequence(F.lit(1), last))).where("p <> q")
+    return first.union(_compared(rest.select("v", "k", F.least("p", "q").alias("w"), F.greatest("p", "q").alias("l"), "node"), nodes))
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
