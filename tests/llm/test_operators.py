@@ -744,3 +744,17 @@ def test_links_of_a_hot_band_alone_are_found(spark):
         label = {x["node"]: x["label"] for x in SH.components(SH.similar_links(nodes, hot)).collect()}
         assert len(label) == n
         assert len({(label[i], int(group[i])) for i in range(n)}) == len(set(label.values())) == 20
+
+
+@pytest.mark.parametrize("stage", [SH.near_dedup, MX.mix])
+def test_texts_are_shuffled_once(spark, stage):
+    found = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = stage(table(spark, ["a b c d", "a b c d", "e f g", None, "h"], ids=[1, 1, 2, None, 3]).localCheckpoint())
+        prepared = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", found)
+    # an exchange's child, on the next line, names its columns
+    lines = prepared.splitlines()
+    assert sum("Exchange hashpartitioning" in a and "text#" in b for a, b in zip(lines, lines[1:], strict=False)) == 1

@@ -126,8 +126,10 @@ def mix(docs: DataFrame, **columns) -> DataFrame:
     p = p.withColumn("__no", F.row_number().over(Window.partitionBy("doc_id", "__h").orderBy(F.desc("epochs")))).where("epochs > 0")
     p = p.select(F.col("doc_id").alias("__vd_id"), F.col("__h").alias("__vd_h"), F.col("__no").alias("__vd_no"), F.col("epochs").alias("__vd_epochs"))
     keyed = docs.withColumn("__vd_hash", F.xxhash64(F.col(idc).cast("string"), F.col(text)))
-    keyed = keyed.withColumn("__vd_row", F.row_number().over(Window.partitionBy(idc, "__vd_hash").orderBy(F.lit(1))))
-    out = keyed.join(p, F.col("__vd_id").eqNullSafe(F.col(idc)) & (F.col("__vd_h") == F.col("__vd_hash")) & (F.col("__vd_no") == F.col("__vd_row")), "inner")
+    # dealt by the hash, which holds the id too, for the row numbers and for the join: texts are shuffled once
+    keyed = keyed.repartition("__vd_hash").withColumn("__vd_row", F.row_number().over(Window.partitionBy(idc, "__vd_hash").orderBy(F.lit(1))))
+    same = F.coalesce(F.col("__vd_id") == F.col(idc), F.col("__vd_id").isNull() & F.col(idc).isNull()) & (F.col("__vd_no") - F.col("__vd_row") == 0)
+    out = keyed.join(p, (F.col("__vd_h") == F.col("__vd_hash")) & same, "inner")
     return out.withColumn("__vd_copy", F.explode(F.sequence(F.lit(1), F.col("__vd_epochs").cast("int")))).select(*[F.col(c) for c in docs.columns])
 
 

@@ -329,9 +329,12 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     labels = components(similar_links(nodes)).withColumnRenamed("node", "n2")
     named = nodes.select("key", "node").join(labels, F.col("node") == F.col("n2"), "left")
     last = named.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("key").alias("key"))
-    last = last.select(F.col("key.id").alias("__vd_id"), F.col("key.h").alias("__vd_h2"))
-    rows = keyed.join(last, F.col(id_column).eqNullSafe(F.col("__vd_id")) & (F.col("__vd_h") == F.col("__vd_h2")), "left_semi")
-    return rows.dropDuplicates([id_column, "__vd_h"]).select(*[F.col(c) for c in docs.columns])
+    last = last.select(F.col("key.id").alias("__vd_id"), F.col("key.h").alias("__vd_h2"), F.xxhash64("key.none", "key.id", "key.h").alias("__vd_c2"))
+    # one key column for the join and for repeated rows, so texts are shuffled once
+    keyed = keyed.withColumn("__vd_c", F.xxhash64(F.col(id_column).isNull(), F.col(id_column), F.col("__vd_h")))
+    same = F.coalesce(F.col(id_column) == F.col("__vd_id"), F.col(id_column).isNull() & F.col("__vd_id").isNull()) & (F.col("__vd_h").bitwiseXOR(F.col("__vd_h2")) == 0)
+    rows = keyed.join(last, (F.col("__vd_c") == F.col("__vd_c2")) & same, "left_semi")
+    return rows.dropDuplicates(["__vd_c", id_column, "__vd_h"]).select(*[F.col(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:
