@@ -229,3 +229,21 @@ def test_extractor(spark):
     assert {r["id"]: r["vec"] for r in X.extract(df, "length").collect()} == {1: [3.0], 2: [0.0]}
     with pytest.raises(ValueError):
         X.extract(df, "no such")
+
+
+def test_axis_aligned_overlap_in_memory_and_by_cells(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    b = np.column_stack((r.normal(0, 3, (40, 2)), r.uniform(0.5, 3, (40, 2)), np.zeros(40)))
+    f = spark.createDataFrame([(i, x) for i, x in enumerate(b.tolist())], "id bigint, box array<double>")
+    rows = lambda: {(x["box_id"], x["query_id"]): round(x["overlap"], 9) for x in B.axis_aligned_overlap(f, f.where("id % 5 = 0")).collect()}
+    near = rows()
+    monkeypatch.setattr(B, "MOST_QUERIES", 0)
+    assert near == rows() and len(near) > 20
+
+
+def test_pair_queries_take_every_fiftieth_query(spark):
+    from vecdrift.plans import queries as Q
+
+    for name in ("pairwise_l2", "pairwise_ip", "axis_aligned_iou"):
+        rows = Q.QUERIES[name](spark, "/root/testdata/sf0.001").select("query_id").distinct().collect()
+        assert rows and all(x["query_id"] % 50 == 0 for x in rows)
