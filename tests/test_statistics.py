@@ -73,6 +73,23 @@ def test_modularity_and_communities(spark, monkeypatch, local):
     assert P.modularity(edges.limit(0), l).first()["modularity"] == 0
 
 
+def test_communities_take_edges_without_objects(spark, monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(P, "louvain", lambda u, v, w: {0: 0})
+    edges = spark.range(60_000).selectExpr("id div 6 AS src", "10000 + pmod(xxhash64(id), 10000) AS dst")
+    arrow = spark.conf.get("spark.sql.execution.arrow.pyspark.enabled")
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+    tracemalloc.start()
+    try:
+        P.communities(edges, spark.range(20_000))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", arrow)
+    assert peak < 5e6  # as objects 74 MB
+
+
 def test_communities_are_the_same_in_memory_and_in_spark(spark, monkeypatch):
     r = np.random.default_rng(3)
     e = {(min(a, b), max(a, b)) for a, b in r.integers(0, 60, (160, 2)).tolist() if a != b and (a // 20 == b // 20 or r.random() < 0.1)}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from hashlib import md5
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,8 +78,10 @@ def communities(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     out = nodes.select("id", F.col("id").alias("label"))
     while True:
         if graph.count() <= 2 * LOCAL_EDGES:
-            rows = graph.toPandas()
-            known = spark.createDataFrame(list(louvain(rows["u"].to_numpy(), rows["v"].to_numpy(), rows["w"].to_numpy()).items()), "su bigint, sl bigint")
+            rows = graph.toArrow()  # toPandas() makes objects of all values where a session has Arrow switched off
+            member = louvain(*(rows.column(c).to_numpy() for c in ("u", "v", "w")))
+            del rows
+            known = spark.createDataFrame(pa.table({"su": pa.array(list(member), pa.int64()), "sl": pa.array(list(member.values()), pa.int64())}))
             graph = None
         else:
             known = _moved(graph)
