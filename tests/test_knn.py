@@ -276,3 +276,35 @@ def test_tiles_meet_in_one_order(monkeypatch, metric):
         d = [(-float(x @ y) if metric == "ip" else float(((x - y) ** 2).sum()), j) for j, y in zip(ids.tolist(), b, strict=True) if j != i]
         want = sorted(p for p in d if np.isfinite(p[0]))[:12]
         assert [(d, j) for d, j in near[near["query_id"] == i][["distance", "neighbor_id"]].itertuples(index=False)] == want
+
+
+@pytest.mark.parametrize("kind", ["equal rows", "equal distances"])
+def test_work_space_of_many_ties_is_bounded(kind):
+    import tracemalloc
+
+    b, ids = np.zeros((8192, 4)), np.arange(8192)
+    b[:, 1] = 1
+    if kind == "equal distances":  # signs differ: other rows, no two equal distances to the queries but these
+        b[:, 0] = np.linspace(-1e-9, 1e-9, 8192)
+        b[::2, 1] = -1
+    q = np.zeros((1024, 4))
+    tracemalloc.start()
+    near = K.top_k(ids[:1024] + 10_000, q, ids, b, 5, "l2", False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    exact = ((q[0] - b) ** 2).sum(axis=1)
+    assert near["neighbor_id"].tolist() == np.lexsort((ids, exact))[:5].tolist() * 1024
+    assert peak < 250e6  # all candidates of a tile at once take over 450 MB
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+@pytest.mark.parametrize("exclude_self", [True, False])
+def test_equal_rows_out_of_reach_change_nothing(metric, exclude_self):
+    r = np.random.default_rng(8)
+    x = r.integers(0, 2, (300, 2)).astype(float)  # four rows, about 75 times each
+    ids = r.permutation(150).repeat(2)  # two rows an id
+    assert K._in_reach(np.sort(ids), x[np.argsort(ids, kind="stable")], 4).sum() == 4 * 6
+    assert len(K._Base(ids, x, metric, 4).ids) == 24
+    few, whole = (b.top_k(ids, x, 4, exclude_self) for b in (K._Base(ids, x, metric, 4), K._Base(ids, x, metric)))
+    assert few.equals(whole)
+    assert few["neighbor_id"].nunique() < 20
