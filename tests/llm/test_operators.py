@@ -682,6 +682,47 @@ def test_repair_round_trip_and_random_access():
         TO.Block(b"XXXX" + bytes(20))
 
 
+def test_words_and_long_pieces_as_the_library_has_them():
+    from tokenizers import Tokenizer
+
+    r = np.random.default_rng(6)
+    letters = list("abcdefgstnrBLX") + list("àéîöüßñÇØÿ") + list("×÷µªº°'´1!*-…ж中\u00a0\u00ad\u0301")
+    words = ["".join(r.choice(letters[: int(r.integers(14, len(letters) + 1))], int(r.integers(1, 20)))) for _ in range(4000)]
+    texts = [" ".join(words[:2000]), "\n".join(words[2000:3000]), "  ".join(words[3000:]), "x" * 63, "x" * 64, "é" * 32, "y" * 65 + " " + "z" * 200, "x" * 7, "x" * 8, "x" * 9, "\0" * 9 + "a", "it's we'll O'é", ""]
+    untouched = Tokenizer.from_file(TO.default_tokenizer())
+    want = [[*untouched.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    enc = TO.Encoder(TO.default_tokenizer())
+    for _ in range(2):  # new pieces, then known ones
+        ids, counts = enc.encode(texts)
+        assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+    calls = []
+    library = enc.tokenizer
+
+    class Watched:
+        def encode_batch_fast(self, some, **kw):
+            calls.append(some)
+            return library.encode_batch_fast(some, **kw)
+
+    enc.tokenizer = Watched()
+    enc.encode(["plain words überall"])
+    assert not [c for c in calls if "".join(c)]  # words go without the library's splitting
+
+
+def test_blocks_expand_in_one_go_and_stay_where_they_are(spark, tmp_path):
+    r = np.random.default_rng(2)
+    for ids in (np.zeros(5000, np.int64), r.integers(0, 4, 20_000), np.array([7])):
+        rules, seq, _ = TO.compress(ids.astype(np.uint32), np.array([len(ids)]), 50257)
+        assert TO.expand_all(seq, rules, TO.expansion_lengths(rules, 50257), 50257).tolist() == TO.expand(seq, rules, 50257).tolist() == ids.tolist()
+    TO.encode(table(spark, ["some words", "others"]), block=2).write.parquet(str(tmp_path / "blocks"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the planner never broadcasts by itself
+    try:
+        plan = TO.read(spark.read.parquet(str(tmp_path / "blocks")))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin [shard#" in plan and "SortMergeJoin [shard#" in plan  # sums of shards and blocks meet by a shuffle
+    assert not [x for x in plan.splitlines() if "Join [shard#" in x and "block#" in x and "SortMerge" in x]
+
+
 # 9 ------------------------------------------------------------------------------------------------------------------
 def rules_brute(t):
     import re

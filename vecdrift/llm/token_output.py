@@ -54,7 +54,37 @@ _PRINTED = _bytes_where(lambda c: 33 <= c <= 126)
 #: First bytes of characters that are no white space: printed ASCII and leads of sequences without spaces in their range.
 _SOLID = _bytes_where(lambda c: 33 <= c <= 126 or 0xC3 <= c <= 0xE0 or 0xE4 <= c <= 0xF4)
 _PAUSE = _bytes_where(lambda c: c in b",.")
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: Second bytes of Latin-1's letters in UTF-8; the first is 0xC3.
+_LATIN = _bytes_where(lambda c: 0x80 <= c <= 0xBF and c not in (0x97, 0xB7))
+#: Of eight bytes, the first 0 to 8.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def _spelling() -> np.ndarray:
+    """The character that byte-level tokenizers write for a byte, here with a space for the line feed."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = np.zeros(256, "<u4")
+    out[plain] = plain
+    out[out == 0] = np.arange(256, 256 + 256 - len(plain))
+    out[10] = 32
+    return out
+
+
+_SPELLING = _spelling()
+
+
+def _eights(raw: bytes, starts: np.ndarray, lengths: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """j, those pieces of ``of`` that have a j-th eight bytes, and these as one number, zeros after the piece's end."""
+    a = np.frombuffer(raw + bytes(-len(raw) % 8 + 8), "<u8")
+    j = 0
+    while len(of):
+        at = starts[of] + 8 * j
+        place, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        w = a[place] >> shift | a[place + 1] << np.uint64(1) << (np.uint64(63) - shift)
+        left = lengths[of] - 8 * j
+        w &= _FIRST[np.minimum(left, 8)]
+        yield j, of, w
+        of, j = of[left > 8], j + 1
 
 
 def default_tokenizer() -> str:
@@ -133,8 +163,9 @@ class Encoder:
     a space that something solid follows, between an ASCII letter and a comma or full stop, and between a line feed
     after printed ASCII and a letter. Texts are cut there in numpy, pieces are known by a 64-bit hash (long ones by a
     digest), and each new piece is encoded once - those that begin with a space all in one text, which the tokenizer
-    splits between them again; the tokens' byte lengths tell where. The cache keeps the pieces' bytes: what is looked up
-    is put together again and compared with the text, so a clash of hashes costs time, never a wrong id.
+    splits between them again; the tokens' byte lengths tell where. Pieces that are one word go without the library's
+    splitting, by the same model. The cache keeps the pieces' bytes, and what is looked up is compared with the text, eight
+    bytes at a time, so a clash of hashes costs time, never a wrong id.
 
     Texts that hold one of the tokenizer's added tokens, and all texts if it isn't byte-level BPE with the usual
     splitting and no normalizer, are encoded whole by the library.
@@ -142,9 +173,10 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()  # what it gets is spelt in byte-level characters
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cuts_hold = self._splits_as_known(json.loads(self.tokenizer.to_str()))
@@ -152,8 +184,6 @@ class Encoder:
         self.bytes_of = np.zeros(self.vocabulary, np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes_of[i] = len(token)
-        inverse = pow(_BASE, -1, 1 << 64)
-        self.powers, self.inverses = (np.concatenate(([np.uint64(1)], np.full((1 << 12) - 1, b, np.uint64))).cumprod(dtype=np.uint64) for b in (_BASE, inverse))
         self._reset()
 
     @staticmethod
@@ -169,29 +199,36 @@ class Encoder:
     def _reset(self) -> None:
         self.pieces = Pieces()
         self.ids, self.begins, self.n_ids = np.zeros(1 << 18, np.uint32), np.zeros((1 << 16) + 1, np.int64), 0
-        self.letters, self.letter_begins, self.n_letters = np.zeros(1 << 20, np.uint8), np.zeros((1 << 16) + 1, np.int64), 0
-
-    def _grow(self, size: int) -> None:
-        while len(self.powers) < size:
-            n = len(self.powers)
-            last = [np.uint64(int(p[-1]) * b % (1 << 64)) for p, b in ((self.powers, _BASE), (self.inverses, pow(_BASE, -1, 1 << 64)))]
-            self.powers, self.inverses = (np.concatenate((p, p * x)) for p, x in zip((self.powers, self.inverses), last, strict=True))
-            assert len(self.powers) == 2 * n
-
-    def _add(self, keys: np.ndarray, pieces: list[bytes]) -> None:
-        spaced = np.fromiter((p[:1] == b" " for p in pieces), bool, len(pieces))
-        alone = np.flatnonzero(~spaced)
-        own = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[i].decode() for i in alone.tolist()], add_special_tokens=False)]
+        # the pieces' bytes, eight a number, each piece from a new one on; begins there, and lengths in bytes
+        self.letters, self.n_letters = np.zeros(1 << 17, np.uint64), 0
+        self.letter_begins, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def _add(self, keys: np.ndarray, raw: bytes, starts: np.ndarray, size: np.ndarray) -> None:
+        upto = np.cumsum(size)
+        begins = upto - size
+        b = np.frombuffer(raw, np.uint8)[np.repeat(starts - begins, size) + np.arange(upto[-1])]
+        # a single pretoken for certain: ASCII and Latin-1 letters after at most one space
+        latin = (b[:-1] == 0xC3) & _LATIN[b[1:]]
+        solid = _LETTER[b]
+        solid[:-1] |= latin
+        solid[1:] |= latin
+        spaced = b[begins] == 32
+        solid[begins] |= spaced & (size > 1)
+        word = np.logical_and.reduceat(solid, begins)
+        alone, spaced, others = np.flatnonzero(~word & ~spaced), np.flatnonzero(~word & spaced), lambda x: [raw[a : a + n] for a, n in zip(starts[x].tolist(), size[x].tolist(), strict=True)]
+        own = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in others(alone)], add_special_tokens=False)]
         found = [np.fromiter(chain.from_iterable(own), np.uint32)]
         counts = [np.fromiter(map(len, own), np.int64, len(own))]
-        spaced = np.flatnonzero(spaced)
         for at in range(0, len(spaced), 1 << 14):
-            few = [pieces[i] for i in spaced[at : at + (1 << 14)].tolist()]
-            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(few).decode()], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.cumsum(np.fromiter(map(len, few), np.int64, len(few)))
-            upto = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="right")
-            found.append(ids)
-            counts.append(np.diff(np.concatenate(([0], upto))))
+            some = spaced[at : at + (1 << 14)]
+            self._append(found, counts, self.tokenizer, b"".join(others(some)).decode(), size[some])
+        spelt = np.full(int(size[word].sum() + word.sum()), 32, "<u4")
+        spelt[np.arange(size[word].sum()) + np.repeat(np.arange(word.sum()), size[word])] = _SPELLING[b[np.repeat(word, size)]]
+        word = np.flatnonzero(word)
+        ends = np.concatenate(([0], np.cumsum(size[word] + 1)))
+        for at in range(0, len(word), 1 << 10):
+            some = word[at : at + (1 << 10)]
+            self._append(found, counts, self.words, spelt[ends[at] : ends[at + len(some)]].tobytes().decode("utf-32-le"), size[some])
         ids, n = np.concatenate(found), np.concatenate(counts)
         first = self.pieces.n
         while self.n_ids + len(ids) > len(self.ids):
@@ -201,16 +238,36 @@ class Encoder:
         self.ids[self.n_ids : self.n_ids + len(ids)] = ids
         self.begins[first + 1 : first + len(n) + 1] = self.n_ids + np.cumsum(n)
         self.n_ids += len(ids)
-        in_order = [pieces[i] for i in np.concatenate((alone, spaced)).tolist()]
-        letters = np.frombuffer(b"".join(in_order), np.uint8)
+        in_order = np.concatenate((alone, spaced, word))
+        n_eights = -(-size[in_order] // 8)
+        at = np.empty(len(size), np.int64)
+        at[in_order] = np.cumsum(n_eights) - n_eights
+        letters = np.zeros(8 * int(n_eights.sum()), np.uint8)
+        letters[np.repeat(8 * at - begins, size) + np.arange(len(b))] = b
+        letters = letters.view("<u8")
         while self.n_letters + len(letters) > len(self.letters):
             self.letters = np.concatenate((self.letters, np.zeros_like(self.letters)))
-        while first + len(n) + 1 > len(self.letter_begins):
-            self.letter_begins = np.concatenate((self.letter_begins, np.zeros_like(self.letter_begins)))
+        while first + len(n) > len(self.lengths):
+            self.letter_begins, self.lengths = (np.concatenate((x, np.zeros_like(x))) for x in (self.letter_begins, self.lengths))
         self.letters[self.n_letters : self.n_letters + len(letters)] = letters
-        self.letter_begins[first + 1 : first + len(n) + 1] = self.n_letters + np.cumsum(np.fromiter(map(len, in_order), np.int64, len(in_order)))
+        self.letter_begins[first : first + len(n)] = self.n_letters + at[in_order]
+        self.lengths[first : first + len(n)] = size[in_order]
         self.n_letters += len(letters)
-        self.pieces.add(keys[np.concatenate((alone, spaced))])
+        self.pieces.add(keys[in_order])
+
+    def _append(self, found: list, counts: list, by, text: str, size: np.ndarray) -> None:
+        """Ids of pieces of so many bytes, encoded in one text, and how many ids each has."""
+        ids = np.array(by.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        upto = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(size), side="right")
+        found.append(ids)
+        counts.append(np.diff(np.concatenate(([0], upto))))
+
+    def _spelt(self, at: np.ndarray, raw: bytes, starts: np.ndarray, lengths: np.ndarray, eights: list, long: list[int]) -> bool:
+        """Whether the pieces of the text are those known at the places ``at``."""
+        begins = self.letter_begins[at]
+        if (self.lengths[at] != lengths).any() or any((self.letters[begins[of] + j] != w).any() for j, of, w in eights):
+            return False
+        return all(self.letters[b : b + -(-n // 8)].tobytes()[:n] == raw[s : s + n] for b, s, n in zip(begins[long].tolist(), starts[long].tolist(), lengths[long].tolist(), strict=True))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and the id count of each."""
@@ -249,12 +306,14 @@ class Encoder:
         cut[doc_ends] = True
         edges = np.flatnonzero(cut)
         starts, ends = edges[:-1], edges[1:]
-        self._grow(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * self.powers[:n], out=total[1:])
-        h = (total[ends] - total[starts]) * self.inverses[starts]
-        h ^= h >> np.uint64(32)
-        for i in np.flatnonzero(ends - starts > _LONG).tolist():
+        lengths = ends - starts
+        long = np.flatnonzero(lengths > _LONG).tolist()
+        h = lengths.astype(np.uint64)
+        eights = list(_eights(raw, starts, lengths, np.flatnonzero(lengths <= _LONG) if long else np.arange(len(starts))))
+        for _, of, w in eights:
+            x = (h[of] ^ w) * np.uint64(0x9E3779B97F4A7C15)
+            h[of] = x ^ x >> np.uint64(32)
+        for i in long:
             h[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8).digest(), "little")
         h[h == 0] = 1
         order = np.argsort(h)
@@ -267,34 +326,35 @@ class Encoder:
         absent = np.flatnonzero(place < 0)
         if len(absent):
             k = sample[absent]
-            self._add(keys[absent], [raw[a:b] for a, b in zip(starts[k].tolist(), ends[k].tolist(), strict=True)])
+            self._add(keys[absent], raw, starts[k], lengths[k])
             place[absent] = self.pieces.find(keys[absent])
         at = place[which]
-        spelt = self.letter_begins[at]
-        if (self.letter_begins[at + 1] - spelt != ends - starts).any() or (self.letters[np.repeat(spelt - starts, ends - starts) + np.arange(n)] != buf).any():
+        if not self._spelt(at, raw, starts, lengths, eights, long):
             own = self.plain(texts)  # two pieces of one hash
             return np.array([i for x in own for i in (*x, END_ID)], np.uint32), np.fromiter(map(len, own), np.int64, len(own)) + 1
         first = self.begins[at]
-        lengths = self.begins[at + 1] - first
-        upto = np.concatenate(([0], np.cumsum(lengths)))
-        ids = self.ids[np.repeat(first - upto[:-1], lengths) + np.arange(upto[-1])]
+        n_ids = self.begins[at + 1] - first
+        upto = np.concatenate(([0], np.cumsum(n_ids)))
+        ids = self.ids[np.repeat(first - upto[:-1], n_ids) + np.arange(upto[-1])]
         ends_at = upto[np.searchsorted(starts, doc_ends)]
         return np.insert(ids, ends_at, np.uint32(END_ID)), np.diff(np.concatenate(([0], ends_at))) + 1
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, least: int = LEAST_COUNT, a_round: int = RULES_A_ROUND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``ids`` cut at ``ends`` (cumulative counts) -> rules [n, 2], sequence, the documents' ends in the sequence."""
-    seq = ids.astype(np.int32)
-    last = np.zeros(len(seq), bool)
-    last[ends - 1] = True
+    seq = ids.astype(np.int64)
     rules: list[np.ndarray] = []
     n = vocabulary
     while len(seq) > 1:
-        codes = seq[:-1].astype(np.int64) << 32 | seq[1:]
-        ordered = np.sort(codes[~last[:-1]])
+        codes = seq[:-1] << 32
+        codes |= seq[1:]
+        across = ends[ends < len(seq)] - 1
+        codes[across] = -1
+        codes.sort()
+        ordered = codes[codes.searchsorted(0) :]
         if not len(ordered):
             break
-        edges = np.concatenate(([0], np.flatnonzero(np.diff(ordered)) + 1, [len(ordered)]))
+        edges = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(ordered)]))
         counts = np.diff(edges)
         often = np.flatnonzero(counts >= least)
         if len(often) > a_round:
@@ -305,32 +365,37 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, least: int = LE
         # which pair stands at a place: a grid of the distinct left and right symbols, 0 where no pair is
         left, right = (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
         rows, columns = np.unique(left), np.unique(right)
-        row, column = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        row, column = np.zeros(n, np.int64), np.zeros(n, np.int64)
         row[rows] = np.arange(1, len(rows) + 1) * (len(columns) + 1)
         column[columns] = np.arange(1, len(columns) + 1)
         grid = np.zeros((len(rows) + 1) * (len(columns) + 1), np.int16 if len(pairs) < 1 << 15 else np.int32)
         grid[row[left] + column[right]] = np.arange(1, len(pairs) + 1)
-        found = grid[row[seq[:-1]] + column[seq[1:]]]
-        found[last[:-1]] = 0
+        cell = row[seq[:-1]]
+        cell += column[seq[1:]]
+        found = grid[cell]
+        found[across] = 0
         maybe = np.flatnonzero(found)
-        which = found[maybe].astype(np.int64) - 1
         # of overlapping occurrences the first, third, ... are taken
-        run = np.concatenate(([True], np.diff(maybe) != 1))
-        since = np.arange(len(maybe)) - np.maximum.accumulate(np.where(run, np.arange(len(maybe)), 0))
-        taken = since % 2 == 0
-        maybe, which = maybe[taken], which[taken]
-        used, which = np.unique(which, return_inverse=True)
-        seq[maybe] = n + which
-        last[maybe] = last[maybe + 1]
+        follow = np.flatnonzero(maybe[1:] - maybe[:-1] == 1) + 1
+        if len(follow):
+            place = np.arange(len(follow))
+            since = place - np.maximum.accumulate(np.where(np.concatenate(([True], np.diff(follow) != 1)), place, 0))
+            taken = np.ones(len(maybe), bool)
+            taken[follow[since % 2 == 0]] = False
+            maybe = maybe[taken]
+        which = found[maybe] - 1
+        hit = np.bincount(which, minlength=len(pairs)) > 0
+        used = np.flatnonzero(hit)
+        seq[maybe] = (n - 1 + np.cumsum(hit))[which]
         stay = np.ones(len(seq), bool)
         stay[maybe + 1] = False
         before = len(seq)
-        seq, last = seq[stay], last[stay]
+        seq, ends = seq[stay], ends - np.searchsorted(maybe + 1, ends)
         rules.append(np.stack((pairs[used] >> 32, pairs[used] & 0xFFFFFFFF), axis=1))
         n += len(used)
         if before - len(seq) < before // 64:  # what a round still saves is less than its rules and time are worth
             break
-    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)), seq, np.flatnonzero(last) + 1
+    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)), seq, ends
 
 
 def expansion_lengths(rules: np.ndarray, vocabulary: int) -> np.ndarray:
@@ -350,6 +415,18 @@ def expand(seq: np.ndarray, rules: np.ndarray, vocabulary: int) -> np.ndarray:
     return seq.astype(np.uint32)
 
 
+def expand_all(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, vocabulary: int) -> np.ndarray:
+    """As ``expand``, for a whole block: each rule is expanded once, then all symbols are copied in one go."""
+    whole: list[tuple[int, ...]] = []
+    for a, b in rules.tolist():
+        whole.append((whole[a - vocabulary] if a >= vocabulary else (a,)) + (whole[b - vocabulary] if b >= vocabulary else (b,)))
+    spelt = np.concatenate((np.arange(vocabulary, dtype=np.uint32), np.fromiter(chain.from_iterable(whole), np.uint32)))
+    size = np.concatenate((np.ones(vocabulary, np.int64), lengths.astype(np.int64)))
+    begin = np.cumsum(size) - size
+    n = size[seq]
+    return spelt[np.repeat(begin[seq] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
 def pack(doc_ids: np.ndarray, nulls: np.ndarray, counts: np.ndarray, ids: np.ndarray, vocabulary: int) -> bytes:
     rules, seq, ends = compress(ids, np.cumsum(counts), vocabulary)
     head = struct.pack("<4s5I", b"VDRP", 1, len(doc_ids), len(rules), len(seq), vocabulary)
@@ -395,7 +472,7 @@ class Block:
         return x
 
     def documents(self) -> Iterator[np.ndarray]:
-        ids = expand(self.seq, self.rules, self.vocabulary)
+        ids = expand_all(self.seq, self.rules, self.lengths, self.vocabulary)
         at = 0
         for n in self.counts.tolist():
             yield ids[at : at + n]
@@ -470,12 +547,15 @@ def write(docs: DataFrame, path: str, tokenizer_path: str | None = None, **colum
 
 
 def _placed(blocks: DataFrame) -> DataFrame:
-    """Adds ``first``: ids in all blocks before. Prefix sums over shards, then inside a shard: no task gets all blocks."""
+    """Adds ``first``: ids in all blocks before. Prefix sums over shards, then inside a shard: no task gets all blocks.
+
+    The sums, three numbers a block, go to the blocks as a broadcast: payloads are not shuffled for them.
+    """
     shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("s"))
     shards = shards.select(F.col("shard").alias("sh"), (F.sum("s").over(Window.orderBy("shard")) - F.col("s")).alias("shard_first"))
     inside = blocks.select("shard", "block", (F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_tokens")).alias("inner_first"))
     placed = inside.join(shards, F.col("shard") == F.col("sh")).select(F.col("shard").alias("s2"), F.col("block").alias("b2"), (F.col("shard_first") + F.col("inner_first")).alias("first"))
-    return blocks.join(placed, (F.col("shard") == F.col("s2")) & (F.col("block") == F.col("b2")))
+    return blocks.join(F.broadcast(placed), (F.col("shard") == F.col("s2")) & (F.col("block") == F.col("b2")))
 
 
 def read(blocks: DataFrame) -> DataFrame:
