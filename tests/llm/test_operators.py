@@ -234,6 +234,31 @@ def test_toxicity(spark, monkeypatch):
     assert {(r["score"], r["predicted"]) for r in d} == {(0.0, 0)}
 
 
+def test_toxicity_sums_and_work_space():
+    """Grams are added as by a plain sum, long words too; a long text's work space is that of few windows."""
+    import tracemalloc
+
+    words = [b"a", b"idiot", b"x" * 5000, b"yz" * 40, b"b", b"q" * 66, *(f"w{i}".encode() for i in range(5000))]
+    _, grams, begins = TX.hashed(words)
+    rows = np.random.default_rng(0).standard_normal((TX.CHAR_ROWS, TX.CHAR_DIM))
+    out = TX._gathered(rows, grams, begins)
+    assert np.abs(out - [rows[grams[a:b]].sum(axis=0) for a, b in zip(begins[:-1], begins[1:], strict=True)]).max() < 1e-9
+    assert TX._gathered(rows, grams[:0], begins[:1]).shape == (0, TX.CHAR_DIM)
+    net = TX.Network()
+    net.ready = True
+    scorer, text = TX.Scorer(net), prose(5, 20_000) + " " + "k" * 40 + " " + prose(6, 40_000)
+    scorer.scores([text])  # its words are known from now on
+    at, begin = scorer._places(TX.words_of(text)), TX.windows(len(TX.words_of(text)))
+    tracemalloc.start()
+    try:
+        scorer.scores([text])
+        assert tracemalloc.get_traced_memory()[1] < 20e6  # 38 MB with 4,096 windows at once
+    finally:
+        tracemalloc.stop()
+    one = [float(scorer._logits(at, begin[i : i + 1], np.array([TX.WINDOW]))[0]) for i in (0, 700, len(begin) - 1)]
+    assert one == pytest.approx(scorer._logits(at, begin, np.full(len(begin), TX.WINDOW))[[0, 700, -1]], abs=1e-12)
+
+
 def test_windows_cover():
     for n in (0, 1, 31, 32, 33, 48, 100, 1000):
         w = TX.windows(n)

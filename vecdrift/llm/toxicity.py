@@ -42,6 +42,8 @@ HIDDEN_WORDS = 0.3
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 _CACHE = 150_000
+#: Windows and words that scoring takes at once, so that work space stays in a core's cache.
+_WINDOWS, _WORDS = 1024, 2048
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -100,6 +102,28 @@ def _summed(places, rows, n):
     return np.bincount(index, weights=rows.reshape(-1), minlength=n * k).reshape(n, k).astype(np.float32)
 
 
+def _gathered(table: np.ndarray, places: np.ndarray, begins: np.ndarray, longest: int = 64) -> np.ndarray:
+    """Sums of the table's rows at the places of each word, added in turn: the words' first rows, then their second ones."""
+    counts = np.diff(begins)
+    out = np.empty((len(counts), table.shape[1]), table.dtype)
+    order = np.argsort(-counts, kind="stable")
+    few = int(np.count_nonzero(counts > longest))  # long words go one by one
+    for i in order[:few].tolist():
+        total = table[places[begins[i]]]
+        for at in range(begins[i] + 1, begins[i + 1], _WORDS):
+            total = np.add.reduce(np.concatenate((total[None], table[places[at : min(at + _WORDS, begins[i + 1])]])), axis=0)
+        out[i] = total
+    for at in range(few, len(order), _WORDS):
+        some = order[at : at + _WORDS]
+        begin, n = begins[some], counts[some]
+        total = table[places[begin]]
+        for j in range(1, int(n[0])):
+            m = int(np.searchsorted(-n, -j, "left"))  # words of more than j places
+            total[:m] += table[places[begin[:m] + j]]
+        out[some] = total
+    return out
+
+
 class Network:
     def __init__(self, seed: int = 7):
         r = np.random.default_rng(seed)
@@ -255,13 +279,14 @@ class Scorer:
 
     Gates are kept as -x (update, reset) and 2x (new state): the sigmoid is then 1 / (1 + e^g) and the hyperbolic
     tangent 1 - 2 / (1 + e^g), which cost one exponential each, a third of numpy's tangent in double precision.
+    States and gates lie window beside window, so numpy's inner loops run over windows, not over a few gates.
     """
 
     def __init__(self, network: Network):
         self.network = Network.__new__(Network)
         self.network.p, self.network.ready = {k: v.astype(np.float64) for k, v in network.p.items()}, network.ready
         self.scale = np.repeat([-1.0, -1.0, 2.0], HIDDEN)
-        self.U = {k: self.network.p[f"U{k}"] * self.scale for k in "fb"}
+        self.U = {k: np.ascontiguousarray((self.network.p[f"U{k}"] * self.scale).T) for k in "fb"}
         self._reset()
 
     def _reset(self):
@@ -274,7 +299,9 @@ class Scorer:
             n = len(self.place)
             while n + len(new) > len(self.tables["f"]):
                 self.tables = {k: np.concatenate((v, np.zeros_like(v))) for k, v in self.tables.items()}
-            gates = self.network.project(self.network.inputs(*hashed(new)))
+            rows, grams, begins = hashed(new)
+            chars = _gathered(self.network.p["C"], grams, begins) / np.sqrt(np.diff(begins))[:, None]
+            gates = self.network.project(np.concatenate((self.network.p["E"][rows], chars), axis=1))
             self.tables["f"][n : n + len(new)] = gates[:, : 3 * HIDDEN] * self.scale
             self.tables["b"][n : n + len(new)] = gates[:, 3 * HIDDEN :] * self.scale
             self.place.update(zip(new, range(n, n + len(new)), strict=True))
@@ -297,7 +324,7 @@ class Scorer:
             if n_windows.sum():
                 begin = np.concatenate([s + f for s, f in zip(starts, first, strict=True)])
                 size = np.minimum(np.repeat(counts, n_windows), WINDOW)
-                logits = np.concatenate([self._logits(at, begin[i : i + 4096], size[i : i + 4096]) for i in range(0, len(begin), 4096)])
+                logits = np.concatenate([self._logits(at, begin[i : i + _WINDOWS], size[i : i + _WINDOWS]) for i in range(0, len(begin), _WINDOWS)])
                 have = np.flatnonzero(n_windows)
                 edges = (np.cumsum(n_windows) - n_windows)[have]
                 out[done + have] = np.round(_sigmoid(np.maximum.reduceat(logits, edges)), 9)
@@ -310,21 +337,43 @@ class Scorer:
         whole = inside.all(axis=1)
         index = at[np.where(inside, begin + step, begin)]
         h, p = HIDDEN, self.network.p
-        H = np.empty((WINDOW, len(begin), 2 * h))
+        H = np.empty((WINDOW, 2 * h, len(begin)))
+        x, g = np.empty((len(begin), 3 * h)), np.empty((3 * h, len(begin)))
+        zr, n = g[: 2 * h], g[2 * h :]
         with np.errstate(over="ignore"):  # e^g past the largest double gives the limits 0 and 1
-            for k, out, order in (("f", H[:, :, :h], range(WINDOW)), ("b", H[:, :, h:], range(WINDOW - 1, -1, -1))):
-                s = np.zeros((len(begin), h))
+            for k, out, order in (("f", H[:, :h], range(WINDOW)), ("b", H[:, h:], range(WINDOW - 1, -1, -1))):
+                s = np.zeros((h, len(begin)))
                 for t in order:
-                    x, v = self.tables[k][index[t]], s @ self.U[k]
-                    zr = 1 / (1 + np.exp(x[:, : 2 * h] + v[:, : 2 * h]))
-                    n = 1 - 2 / (1 + np.exp(x[:, 2 * h :] + zr[:, h:] * v[:, 2 * h :]))
-                    new = n + zr[:, :h] * (s - n)
-                    s = out[t] = new if whole[t] else np.where(inside[t][:, None], new, s)
-            q = 1 - 2 / (1 + np.exp(H.reshape(-1, 2 * h) @ (2 * p["A"]) + 2 * p["a"]))
-        e = np.where(inside, (q @ p["u"]).reshape(inside.shape), -np.inf)
+                    np.take(self.tables[k], index[t], axis=0, out=x, mode="clip")
+                    np.matmul(self.U[k], s, out=g)
+                    zr += x.T[: 2 * h]
+                    _part(zr, 1)
+                    n *= zr[h:]
+                    n += x.T[2 * h :]
+                    _part(n, -2)
+                    n += 1
+                    new = out[t]
+                    np.subtract(s, n, out=new)
+                    new *= zr[:h]
+                    new += n
+                    if not whole[t]:
+                        np.copyto(new, s, where=~inside[t])
+                    s = new
+            q = np.matmul(2 * p["A"].T, H)
+            q += 2 * p["a"][:, None]
+            _part(q, -2)
+            q += 1
+        e = np.where(inside, p["u"] @ q, -np.inf)
         e = np.exp(e - e.max(axis=0))
         # the pooled state's logit is the mean of the places' logits, weighted by attention
-        return (e * (H @ p["w"])).sum(axis=0) / e.sum(axis=0) + p["b"][0]
+        return (e * (p["w"] @ H)).sum(axis=0) / e.sum(axis=0) + p["b"][0]
+
+
+def _part(g: np.ndarray, of: float) -> None:
+    """of / (1 + e^g), in place."""
+    np.exp(g, out=g)
+    g += 1
+    np.divide(of, g, out=g)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: tuple[int, int] = (TOXIC_SAMPLE, CLEAN_SAMPLE)) -> Network:
