@@ -50,6 +50,30 @@ def test_grid_beyond_broadcast(spark, monkeypatch):
     close(got(K.mixed_knn(frame(spark, x), 4)), brute(x, x, 4, same=True))
 
 
+@pytest.fixture
+def many_partitions(spark):
+    """Groups stay in the partitions that their keys' hashes name: nothing is put together afterwards."""
+    own = {"spark.sql.shuffle.partitions": "13", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in was.items():
+        spark.conf.set(k, v)
+
+
+def test_grid_cells_meet_in_any_partition(spark, monkeypatch, many_partitions):
+    monkeypatch.setattr(K, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(K, "BLOCK_ROWS", 11)
+    x = np.random.default_rng(6).random((60, 3))
+    close(got(K.mixed_knn(frame(spark, x), 4)), brute(x, x, 4, same=True))
+    close(got(K.cross_set_knn(frame(spark, x), frame(spark, x[:30] + 0.1), 3)), brute(x[:30] + 0.1, x, 3))
+    pairs = [(i, j) for i in range(60) for j in range(0, 60, 7) if i != j]
+    out = K.ranks(frame(spark, x), spark.createDataFrame(pairs, "query_id bigint, neighbor_id bigint")).collect()
+    places = {i: [j for _, j in sorted((float(((x[i] - y) ** 2).sum()), j) for j, y in enumerate(x) if j != i)] for i in range(60)}
+    assert {(r["query_id"], r["neighbor_id"]): r["rank"] for r in out} == {(i, j): places[i].index(j) + 1 for i, j in pairs}
+
+
 def test_mahalanobis_identity_and_full(spark):
     r = np.random.default_rng(7)
     base, q = r.random((8, 3)), r.random((6, 3))
