@@ -74,6 +74,26 @@ def test_grid_cells_meet_in_any_partition(spark, monkeypatch, many_partitions):
     assert {(r["query_id"], r["neighbor_id"]): r["rank"] for r in out} == {(i, j): places[i].index(j) + 1 for i, j in pairs}
 
 
+def test_broadcast_is_searched_in_place(spark):
+    """Rows come by id, so no worker copies the broadcast's matrix; a search holds two tiles of products at most."""
+    import tracemalloc
+
+    x = np.random.default_rng(7).random((4096, 5))
+    ids, vecs = K._collected(frame(spark, x).repartition(5).orderBy("vec"), 5)
+    assert ids.tolist() == list(range(len(x))) and (vecs == x).all()
+    base = K._Base(ids, vecs, "l2", 10)
+    assert base.rows is vecs and K._Ranks(ids, vecs).base.rows is vecs
+    tracemalloc.start()
+    try:
+        base.top_k(ids[:1024], vecs[:1024], 10, True)
+        assert tracemalloc.get_traced_memory()[1] < 90e6  # a tile is 34 MB; three of them before
+    finally:
+        tracemalloc.stop()
+    mixed = np.random.default_rng(0).permutation(len(x))
+    a, b = (K._Ranks(ids[o], vecs[o]).before(ids[:2], vecs[:2], [np.array([5, 9]), np.array([700])]) for o in (ids, mixed))
+    assert a.equals(b)
+
+
 def test_mahalanobis_identity_and_full(spark):
     r = np.random.default_rng(7)
     base, q = r.random((8, 3)), r.random((6, 3))
